@@ -157,14 +157,20 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+#: Bytes of terms: ASCII letters, and all bytes of characters beyond ASCII.
+LETTERS = np.zeros(256, bool)
+LETTERS[0x80:] = LETTERS[ord("A") : ord("Z") + 1] = LETTERS[ord("a") : ord("z") + 1] = True
+
+
+def words(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray = ~_SPACE) -> tuple[np.ndarray, np.ndarray]:
     """Fingerprints of the words of lower-cased (A-Z) texts, and the n+1 offsets of each text's words.
 
-    Words are runs of bytes other than the six ASCII white spaces; a text's end ends a word.
+    Words are runs of bytes of one kind, else of bytes other than the six ASCII white spaces; a
+    text's end ends a word.
     """
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    inside = ~_SPACE[data]
+    inside = kind[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[1:-1] = inside[1:] != inside[:-1]
     edge[0], edge[-1] = inside[0], inside[-1]

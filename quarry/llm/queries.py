@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from quarry.llm import media
+from quarry.llm import media, pii
 
 QUERIES = {
     "op3_media": media.op3_media,
+    "op5_pii": pii.op5_pii,
 }
 
 ORACLES: dict[str, str] = {}
