@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from quarry.llm import media, pii
+from quarry.llm import media, pieces, pii
 
 QUERIES = {
     "op3_media": media.op3_media,
+    "op4_sentencepiece": pieces.op4_sentencepiece,
     "op5_pii": pii.op5_pii,
 }
 
