@@ -13,6 +13,7 @@ docstring says otherwise:
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,18 +53,36 @@ def pinned(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def keyed(df: DataFrame, key: str = "_q_key") -> DataFrame:
-    """(key, doc_id, text): ``key`` is a long that is unique and ordered as (doc_id, text hash).
+def keyed(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """(_q_key, doc_id, text), or the columns named: ``_q_key`` is a long, unique and ordered as (doc_id, text hash).
 
     Unique, non-null ids are their own key. Otherwise the rows are sorted once and numbered,
     and the numbering is pinned, since it depends on how the sort dealt them out.
     """
-    df = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    if columns is None:
+        columns = ["doc_id", "text"]
+        df = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     repeated = df.groupBy("doc_id").count().where("`count` > 1 or doc_id is null").limit(1).count()
     if not repeated:
-        return df.select(F.col("doc_id").alias(key), "doc_id", "text")
+        return df.select(F.col("doc_id").cast("long").alias("_q_key"), *columns)
     ordered = df.orderBy(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    return pinned(ordered.select(F.monotonically_increasing_id().alias(key), "doc_id", "text"))
+    return pinned(ordered.select(F.monotonically_increasing_id().alias("_q_key"), *columns))
+
+
+#: Rows of a narrow table (some longs each) that may be broadcast.
+MOST_BROADCAST = 200_000
+
+
+def small(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
+    """df, to be broadcast if its rows, which are counted, are few; else as it is, to be shuffled."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def literal(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
+    """A small table of parameters, as a literal of the plan."""
+    if not rows:
+        return spark.range(0).select(F.inline(F.from_json(F.lit("[]"), f"array<struct<{schema}>>")))
+    return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")))
 
 
 def partitions(spark: SparkSession, least: int = 1) -> int:

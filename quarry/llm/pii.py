@@ -28,8 +28,6 @@ from quarry.llm import common
 KINDS = ("email", "ip", "card", "phone")
 DISCLOSURE = 0.5
 MIN_SUPPORT = 3
-#: Rows of a table that may be broadcast: below 64 MB for what is sent here.
-MOST_BROADCAST = 200_000
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -162,10 +160,10 @@ def disclosing(docs: DataFrame, found: DataFrame, disclosure: float = DISCLOSURE
     support = pairs.groupBy("entity", "term", "line").agg(F.count("*").alias("n")).groupBy("entity", "term").agg(F.count("*").alias("support"), F.sum("n").alias("both"))
     support = common.pinned(support.where(F.col("support") >= min_support))
     wanted = support.select("term").distinct()
-    n = wanted.limit(MOST_BROADCAST + 1).count()
+    n = wanted.limit(common.MOST_BROADCAST + 1).count()
     if not n:
         return None
-    terms = np.sort(np.array([r[0] for r in wanted.toLocalIterator()], np.int64)) if n <= MOST_BROADCAST else None
+    terms = np.sort(np.array([r[0] for r in wanted.toLocalIterator()], np.int64)) if n <= common.MOST_BROADCAST else None
     counts = common.pinned(line_counts(docs, terms))
     all_lines = float(counts.where("term is null").first()["lines"])
     entities = found.groupBy("entity").agg(F.count("*").alias("own"))
@@ -185,7 +183,7 @@ def sanitise(docs: DataFrame, disclosure: float = DISCLOSURE, min_support: int =
         own = found.select("key", "entity").distinct().join(hidden, "entity").groupBy("key").agg(F.collect_set("term").alias("_q_terms"))
         own = common.pinned(own)
         small = own.select(F.sum(F.size("_q_terms") + 4)).first()[0] or 0
-        own = F.broadcast(own) if small <= MOST_BROADCAST else own
+        own = F.broadcast(own) if small <= common.MOST_BROADCAST else own
         frame = keyed.join(own, keyed["_q_key"] == own["key"], "left")
 
     def rewrite(batches):

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from quarry.llm import media, pieces, pii
+from quarry.llm import media, pieces, pii, topk
 
 QUERIES = {
     "op3_media": media.op3_media,
     "op4_sentencepiece": pieces.op4_sentencepiece,
     "op5_pii": pii.op5_pii,
+    "op7_top_k": topk.op7_top_k,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op7_top_k": topk.ORACLE}
