@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from quarry.llm import media, pieces, pii, topk
+from quarry.llm import langid, lines, media, mixing, pieces, pii, topk
 
 QUERIES = {
+    "op2_line_dedup": lines.op2_line_dedup,
     "op3_media": media.op3_media,
     "op4_sentencepiece": pieces.op4_sentencepiece,
     "op5_pii": pii.op5_pii,
+    "op6_mixing": mixing.op6_mixing,
     "op7_top_k": topk.op7_top_k,
+    "op9_language_id": langid.op9_language_id,
 }
 
 ORACLES: dict[str, str] = {"op7_top_k": topk.ORACLE}
