@@ -4,7 +4,8 @@ log P(language | row) adds up, besides a constant, the tempered log-likelihood o
 the log-likelihood of the language its markup declares, and the log prior of its host. Priors are
 smoothed down a hierarchy, all corpus -> address suffix -> host, and like P(declared | language) come out
 of grouped aggregates of every row's text-only posterior. The class ``und`` (text spread evenly over all
-trigrams) stands for what is no language; a row is accepted if another class wins and it has any text.
+trigrams) stands for what is no language; a row is accepted unless that class has a posterior of
+``REJECT`` or the row has no text.
 
 The trigram model alone is fitted on a sample: ``SAMPLE`` labelled rows, those whose ids' hashes are
 least. Everything else covers all rows.
@@ -30,6 +31,7 @@ BUCKETS = 1 << 15
 EFFECTIVE = 60.0
 #: Pseudo-counts of a parent's prior, and of a declaration.
 KAPPA, DECLARED = 10.0, 0.5
+REJECT = 0.9
 UND = "und"
 
 _FOLD = np.full(256, 32, np.int64)
@@ -146,9 +148,12 @@ def identify(rows: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
     prior = F.coalesce(F.col("prior"), F.array(*[F.lit(x) for x in top]))
     fused = F.zip_with(F.zip_with("scores", F.transform(prior, lambda x: F.log(x)), lambda a, b: a + b), F.coalesce(F.col("said"), F.array_repeat(F.lit(0.0), n)), lambda a, b: a + b)
     found = joined.select(*own, "trigrams", _softmax(fused).alias("p"))
-    best = F.array_position("p", F.array_max("p")).cast("int")
-    lang = F.when(F.col("trigrams") == 0, UND).otherwise(F.array(*[F.lit(x) for x in names])[best - 1])
-    return found.select(*own, lang.alias("lang"), F.array_max("p").alias("posterior"), (lang != UND).alias("accepted"))
+    known = F.slice("p", 1, n - 1)
+    best = F.array_position(known, F.array_max(known)).cast("int")
+    none = (F.col("trigrams") == 0) | (F.col("p")[n - 1] >= REJECT)
+    lang = F.when(none, UND).otherwise(F.array(*[F.lit(x) for x in names])[F.coalesce(best, F.lit(n)) - 1])
+    posterior = F.when(none | best.isNull(), F.col("p")[n - 1]).otherwise(F.array_max(known))
+    return found.select(*own, lang.alias("lang"), posterior.alias("posterior"), (lang != UND).alias("accepted"))
 
 
 def document_rows(docs: DataFrame, key: str = "_q_key") -> DataFrame:

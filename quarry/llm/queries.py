@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.llm import langid, lines, media, mixing, pieces, pii, topk
+from quarry.llm import langid, lines, media, mixing, neardup, pieces, pii, topk
 
 QUERIES = {
     "op2_line_dedup": lines.op2_line_dedup,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_mixing": mixing.op6_mixing,
     "op7_top_k": topk.op7_top_k,
     "op9_language_id": langid.op9_language_id,
+    "op10_near_dedup": neardup.op10_near_dedup,
 }
 
 ORACLES: dict[str, str] = {"op7_top_k": topk.ORACLE}
