@@ -167,7 +167,7 @@ class Fingerprints:
         if n <= 0:
             return np.zeros(0, np.uint64)
         raw = (self.sums[length:] - self.sums[:n]) * self.back[:n]
-        return mix(raw + _U(length) * _U(0xD6E8FEB86659FD93))
+        return mix(raw + _U(length * 0xD6E8FEB86659FD93 % (1 << 64)))
 
 
 _SPACE = np.zeros(256, bool)

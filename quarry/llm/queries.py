@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from quarry.llm import langid, lines, media, mixing, neardup, pieces, pii, topk
+from quarry.llm import langid, lines, media, mixing, neardup, pieces, pii, repeats, topk
 
 QUERIES = {
+    "op1_repeats": repeats.op1_repeats,
     "op2_line_dedup": lines.op2_line_dedup,
     "op3_media": media.op3_media,
     "op4_sentencepiece": pieces.op4_sentencepiece,
