@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.llm import langid, lines, media, mixing, neardup, pieces, pii, repeats, topk
+from quarry.llm import langid, lines, lm, media, mixing, neardup, pieces, pii, repeats, topk
 
 QUERIES = {
     "op1_repeats": repeats.op1_repeats,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_pii": pii.op5_pii,
     "op6_mixing": mixing.op6_mixing,
     "op7_top_k": topk.op7_top_k,
+    "op8_lm_scores": lm.op8_lm_scores,
     "op9_language_id": langid.op9_language_id,
     "op10_near_dedup": neardup.op10_near_dedup,
 }
