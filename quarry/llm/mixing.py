@@ -148,5 +148,5 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, written in the mixed order."""
     rows = common.keyed(docs, docs.columns)
-    order = mix(rows.select("_q_key", "source")).select("_q_key", "slot", "place")
-    return rows.join(order, "_q_key").repartitionByRange("slot", "place").sortWithinPartitions("slot", "place").select(*docs.columns)
+    order = mix(rows.select("_q_key", "source")).select("_q_key", F.col("slot").alias("_q_slot"), F.col("place").alias("_q_place"))
+    return rows.join(order, "_q_key").repartitionByRange("_q_slot", "_q_place").sortWithinPartitions("_q_slot", "_q_place").select(*docs.columns)

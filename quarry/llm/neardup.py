@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from quarry.llm import common
 from quarry.llm.graph import components
 
-WORDS = 4
+WORDS = 5
 THRESHOLD_PERCENT = 80
 REGISTERS, BANDS, ROWS = 256, 32, 4
 MARGIN = 0.125
@@ -107,14 +107,14 @@ def estimate(equal: np.ndarray) -> np.ndarray:
     return (equal / REGISTERS - _COLLISIONS) / (1 - _COLLISIONS)
 
 
-def sketches(docs: DataFrame) -> DataFrame:
+def sketches(docs: DataFrame, width: int = WORDS) -> DataFrame:
     """(key, doc_id, n, mark, registers) of keyed documents: size and fingerprint of the set, and its registers."""
 
     def sketch(batches):
         for batch in batches:
             data, at = common.text_bytes(batch.column(2))
             for a, b in common.slices(at):
-                hashes, bounds = shingle_sets(data[at[a] : at[b]], at[a : b + 1] - at[a])
+                hashes, bounds = shingle_sets(data[at[a] : at[b]], at[a : b + 1] - at[a], width)
                 sums = np.concatenate([[np.uint64(0)], np.cumsum(common.mix(hashes + np.uint64(77)), dtype=np.uint64)])
                 raw = registers(hashes, bounds).astype("<u2").tobytes()
                 size = 2 * REGISTERS
@@ -145,7 +145,7 @@ def _estimated(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
     return joined.mapInArrow(keep, "a long, b long")
 
 
-def verified(docs: DataFrame, pairs: DataFrame, percent: int = THRESHOLD_PERCENT) -> DataFrame:
+def verified(docs: DataFrame, pairs: DataFrame, percent: int = THRESHOLD_PERCENT, width: int = WORDS) -> DataFrame:
     """The pairs (a, b) of keys whose full shingle sets are similar enough."""
     ids = pairs.select(F.col("a").alias("_q_key")).unionByName(pairs.select(F.col("b").alias("_q_key"))).distinct()
     texts = docs.select("_q_key", "text").join(common.small(common.pinned(ids)), "_q_key", "left_semi")
@@ -154,7 +154,7 @@ def verified(docs: DataFrame, pairs: DataFrame, percent: int = THRESHOLD_PERCENT
         for batch in batches:
             data, at = common.text_bytes(batch.column(1))
             for a, b in common.slices(at):
-                hashes, bounds = shingle_sets(data[at[a] : at[b]], at[a : b + 1] - at[a])
+                hashes, bounds = shingle_sets(data[at[a] : at[b]], at[a : b + 1] - at[a], width)
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array([hashes[x:y].tobytes() for x, y in zip(bounds, bounds[1:])], pa.binary())], names=["key", "shingles"])
 
     found = common.pinned(texts.mapInArrow(sets, "key long, shingles binary"))
@@ -216,24 +216,24 @@ def _apart(shared: DataFrame, classes: DataFrame, links: DataFrame, best: int |
     return close.unionByName(blocks).distinct()
 
 
-def near_duplicates(docs: DataFrame, percent: int = THRESHOLD_PERCENT) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = THRESHOLD_PERCENT, width: int = WORDS) -> DataFrame:
     """(key, doc_id, n_shingles, component, component_id) of keyed documents; component is the least key
-    of those reached by links, component_id that document's id."""
+    of those reached by links, component_id that document's id; width: words of a shingle."""
     least = percent / 100 - MARGIN
-    sets = common.pinned(sketches(docs))
+    sets = common.pinned(sketches(docs, width))
     classes = common.pinned(sets.where("n > 0").groupBy("mark", "n").agg(F.min(F.struct("key", "doc_id", "registers")).alias("one")).select("mark", "n", "one.*").withColumnRenamed("key", "rep"))
-    width = 2 * ROWS
-    keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("registers"), i * width + 1, F.lit(width))))
+    raw = 2 * ROWS
+    keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("registers"), i * raw + 1, F.lit(raw))))
     bands = classes.select("rep", F.explode(keys).alias("band"))
     buckets = common.pinned(bands.groupBy("band").agg(F.min("rep").alias("hub"), F.count("*").alias("size")).where("size > 1").select("band", "hub"))
     shared = common.pinned(bands.join(buckets, "band"))
     stars = shared.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    links = verified(docs, common.pinned(_estimated(stars, classes, least)), percent)
+    links = verified(docs, common.pinned(_estimated(stars, classes, least)), percent, width)
     for best in (BEST, None):
         pairs = common.pinned(_apart(shared, classes, links, best, least))
         if not pairs.limit(1).count():
             break
-        links = common.pinned(links.unionByName(verified(docs, pairs, percent)))
+        links = common.pinned(links.unionByName(verified(docs, pairs, percent, width)))
     found = components(links)
     named = found.join(classes.select(F.col("rep").alias("component"), F.col("doc_id").alias("component_id")), "component")
     classes = classes.select("mark", "n", "rep", F.col("doc_id").alias("rep_id")).join(named, F.col("rep") == F.col("id"), "left")
@@ -248,7 +248,7 @@ def near_duplicates(docs: DataFrame, percent: int = THRESHOLD_PERCENT) -> DataFr
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.keyed(common.read(spark, sf_dir, "documents"))
-    return near_duplicates(docs).select("doc_id", "n_shingles", "component_id", (F.col("key") == F.col("component")).alias("kept"))
+    return near_duplicates(docs, width=4).select("doc_id", "n_shingles", "component_id", (F.col("key") == F.col("component")).alias("kept"))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -220,3 +220,9 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.read(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text")
     found = decode(encode(docs))
     return found.select("doc_id", "ids", F.size("ids").cast("long").alias("n_pieces"), common.sha_hex(F.col("decoded")).alias("decoded_sha256"), (F.col("decoded") == F.translate("text", SPACE, " ")).alias("same"))
+
+
+def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with their ids, and whether these decode to the text again."""
+    found = decode(encode(docs.withColumn("text", F.coalesce("text", F.lit(""))), into="piece_ids"), "piece_ids", "_q_decoded")
+    return found.withColumns({"n_pieces": F.size("piece_ids").cast("long"), "decodes": F.col("_q_decoded") == F.translate("text", SPACE, " ")}).drop("_q_decoded")
