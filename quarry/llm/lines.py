@@ -7,7 +7,7 @@ fields and become ``<*>``. If at least ``CONSTANT`` of a line's tokens stay, tha
 otherwise its template is the line itself with its digit fields masked. Lines of a template
 that ``min_docs`` documents hold are dropped, but for those of the first document (by id) that has it.
 
-Tokens are what single spaces part, in lines stripped of leading and trailing white space. Odd input: a
+Tokens are what single spaces part, in lines stripped of leading and trailing spaces, tabs and the like. Odd input: a
 null or empty text has no lines and stays empty; blank lines stay; equal ids are documents of
 their own, ordered by text hash.
 """
@@ -26,14 +26,14 @@ FIELD = "<*>"
 
 
 def _masked(tokens: Column) -> Column:
-    return F.regexp_replace(tokens, r"[^ ]*[0-9][^ ]*", FIELD)
+    return F.when(tokens.rlike("[0-9]"), F.regexp_replace(tokens, r"[^ ]*[0-9][^ ]*", FIELD)).otherwise(tokens)
 
 
 def line_rows(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     """(_q_key, line_no, line, leaf) of the non-blank lines."""
     rows = docs.select("_q_key", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "raw"))
-    rows = rows.select("_q_key", "line_no", F.regexp_replace("raw", r"^\s+|\s+$", "").alias("line")).where("line <> ''")
-    tokens = F.length("line") - F.length(F.translate("line", " ", "")) + 1
+    rows = rows.select("_q_key", "line_no", F.btrim("raw", F.lit(" \t\r\f\v")).alias("line")).where("line <> ''")
+    tokens = F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit(""))) + 1
     return rows.withColumn("leaf", F.xxhash64(tokens, _masked(F.substring_index("line", " ", depth))))
 
 
@@ -71,14 +71,16 @@ def dropped_lines(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS)
 
 def line_dedup(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS) -> DataFrame:
     """docs (with _q_key and text) with recurring lines taken out of ``text``, plus _q_lines and _q_gone (counts)."""
-    gone = dropped_lines(docs, depth, min_docs).withColumnRenamed("_q_key", "_q_own")
-    joined = docs.join(common.small(gone), F.col("_q_key") == F.col("_q_own"), "left")
+    gone = dropped_lines(docs, depth, min_docs).toDF("_q_own", "_q_numbers")
+    numbers = gone.agg(F.sum(F.size("_q_numbers") + 2)).first()[0] or 0
+    gone = F.broadcast(gone) if numbers <= common.MOST_BROADCAST else gone
+    joined = docs.join(gone, F.col("_q_key") == F.col("_q_own"), "left")
     lines = F.split("text", "\n", -1)
-    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone")), lambda i: lines[i])
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
+    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_q_numbers")), lambda i: lines[i])
+    text = F.when(F.col("_q_numbers").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
     n_lines = F.when(F.col("text") == "", 0).otherwise(F.size(lines))
-    counts = {"_q_lines": n_lines.cast("long"), "_q_gone": F.coalesce(F.size("gone"), F.lit(0)).cast("long")}
-    return joined.withColumns(counts).withColumn("text", text).drop("gone", "_q_own")
+    counts = {"_q_lines": n_lines.cast("long"), "_q_gone": F.coalesce(F.size("_q_numbers"), F.lit(0)).cast("long")}
+    return joined.withColumns(counts).withColumn("text", text).drop("_q_numbers", "_q_own")
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
