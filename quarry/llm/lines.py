@@ -72,9 +72,7 @@ def dropped_lines(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS)
 def line_dedup(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS) -> DataFrame:
     """docs (with _q_key and text) with recurring lines taken out of ``text``, plus _q_lines and _q_gone (counts)."""
     gone = dropped_lines(docs, depth, min_docs).toDF("_q_own", "_q_numbers")
-    numbers = gone.agg(F.sum(F.size("_q_numbers") + 2)).first()[0] or 0
-    gone = F.broadcast(gone) if numbers <= common.MOST_BROADCAST else gone
-    joined = docs.join(gone, F.col("_q_key") == F.col("_q_own"), "left")
+    joined = docs.join(gone.hint("merge"), F.col("_q_key") == F.col("_q_own"), "left")
     lines = F.split("text", "\n", -1)
     left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_q_numbers")), lambda i: lines[i])
     text = F.when(F.col("_q_numbers").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
