@@ -13,6 +13,7 @@ docstring says otherwise:
 
 from __future__ import annotations
 
+import gc
 import json
 from collections.abc import Iterator
 
@@ -48,9 +49,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def pinned(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared checkpoint folder."""
+    """df, computed once and kept in the shared checkpoint folder. What it was made from is no longer needed, so the
+    driver collects its garbage, on which Spark deletes the shuffle files of earlier steps."""
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    kept = df.checkpoint(eager=True)
+    gc.collect()
+    df.sparkSession._jvm.System.gc()
+    return kept
 
 
 def keyed(df: DataFrame, columns: list[str] | None = None) -> DataFrame:

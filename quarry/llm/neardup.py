@@ -132,9 +132,14 @@ def _table(column: pa.Array) -> np.ndarray:
     return np.frombuffer(raw, "<u2").reshape(len(column), REGISTERS)
 
 
+def _of(classes: DataFrame, ids: DataFrame) -> DataFrame:
+    """The classes of some ids, so that no other registers are moved."""
+    return classes.join(common.small(ids.distinct()), F.col("rep") == F.col("id"), "left_semi")
+
+
 def _estimated(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
     """The pairs (a, b) whose estimate is least or more."""
-    own = lambda name: classes.select(F.col("rep").alias(name), F.col("registers").alias(f"registers_{name}"))
+    own = lambda name: _of(classes, pairs.select(F.col(name).alias("id"))).select(F.col("rep").alias(name), F.col("registers").alias(f"registers_{name}"))
     joined = pairs.join(own("a"), "a").join(own("b"), "b").select("a", "b", "registers_a", "registers_b")
 
     def keep(batches):
@@ -187,9 +192,10 @@ def _apart(shared: DataFrame, classes: DataFrame, links: DataFrame, best: int |
     left = few.where("component <> main").select("band", F.col("rep").alias("a"), F.col("component").alias("of_a"))
     right = few.select("band", F.col("rep").alias("b"), F.col("component").alias("of_b"))
     pairs = left.join(right, "band").where("of_a <> of_b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    close = _estimated(pairs, classes, least)
+    close = _estimated(common.pinned(pairs), classes, least)
 
-    many = members.where(F.col("size") > SMALL_BUCKET).join(classes.select("rep", "registers"), "rep")
+    many = members.where(F.col("size") > SMALL_BUCKET)
+    many = many.join(_of(classes, many.select(F.col("rep").alias("id"))).select("rep", "registers"), "rep")
     lefts, rights = F.ceil(F.col("probes") / BLOCK).cast("int"), F.ceil(F.col("size") / BLOCK).cast("int")
     part = lambda n: F.pmod(F.xxhash64("rep"), n).cast("int")
     all_of = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
@@ -227,7 +233,7 @@ def near_duplicates(docs: DataFrame, percent: int = THRESHOLD_PERCENT, width: in
     bands = classes.select("rep", F.explode(keys).alias("band"))
     buckets = common.pinned(bands.groupBy("band").agg(F.min("rep").alias("hub"), F.count("*").alias("size")).where("size > 1").select("band", "hub"))
     shared = common.pinned(bands.join(buckets, "band"))
-    stars = shared.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
+    stars = common.pinned(shared.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct())
     links = verified(docs, common.pinned(_estimated(stars, classes, least)), percent, width)
     for best in (BEST, None):
         pairs = common.pinned(_apart(shared, classes, links, best, least))
