@@ -210,6 +210,16 @@ def words(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray = ~_SPACE) ->
     return prints, np.searchsorted(starts, offsets, side="left")
 
 
+def sliced_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As words(), slice by slice, so that memory beside the result follows the slice."""
+    parts, bounds = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)]
+    for a, b in slices(offsets, SLICE_BYTES // 2):
+        prints, own = words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+        parts.append(prints)
+        bounds.append(own[1:] + bounds[-1][-1])
+    return np.concatenate(parts), np.concatenate(bounds)
+
+
 def spread(bounds: np.ndarray) -> np.ndarray:
     """The row number of each element, given the rows' n+1 offsets."""
     return np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))

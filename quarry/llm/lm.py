@@ -30,7 +30,7 @@ from quarry.llm import common
 ORDER = 3
 MIN_COUNT = 2
 BACKOFF = 0.4
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 12 << 20
 BUCKET_BYTES = 4 << 20
 #: The n-gram that stands for all words of the corpus.
 _ALL = np.uint64(0x5851F42D4C957F2D)
@@ -39,7 +39,7 @@ _ALL = np.uint64(0x5851F42D4C957F2D)
 def ngrams(data: np.ndarray, at: np.ndarray, order: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """Per length n: fingerprints of the n-grams that end at each word (0 where a text has too few before);
     the words' places in their texts; the n+1 offsets of the texts' words."""
-    prints, bounds = common.words(data, at)
+    prints, bounds = common.sliced_words(data, at)
     place = np.arange(len(prints)) - bounds[:-1][common.spread(bounds)]
     levels = [common.mix(prints + np.uint64(1))]
     for n in range(2, order + 1):
@@ -73,7 +73,13 @@ def _bucket_cuts(found: np.ndarray, buckets: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(found, edges), [len(found)]])
 
 
-_ZSTD = pa.Codec("zstd", compression_level=1)
+
+def _squeezed(raw: bytes) -> bytes:
+    return pa.Codec("zstd", compression_level=3).compress(raw, asbytes=True)
+
+
+def _restored(raw, size: int) -> bytes:
+    return pa.Codec("zstd").decompress(raw, int(size), asbytes=True)
 
 
 def _pack(values: np.ndarray) -> bytes:
@@ -81,26 +87,42 @@ def _pack(values: np.ndarray) -> bytes:
     planes = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T)
     used = max(1, 8 - int(np.argmax(planes.any(axis=1)[::-1]))) if len(values) and planes.any() else 1
     raw = planes[:used].tobytes()
-    return len(values).to_bytes(4, "little") + bytes([used]) + _ZSTD.compress(raw, asbytes=True)
+    return len(values).to_bytes(4, "little") + bytes([used]) + _squeezed(raw)
 
 
 def _unpack(raw: bytes) -> np.ndarray:
     n, used = int.from_bytes(raw[:4], "little"), raw[4]
     planes = np.zeros((8, n), np.uint8)
     if n:
-        planes[:used] = np.frombuffer(_ZSTD.decompress(raw[5:], n * used, asbytes=True), np.uint8).reshape(used, n)
+        planes[:used] = np.frombuffer(_restored(raw[5:], n * used), np.uint8).reshape(used, n)
     return np.ascontiguousarray(planes.T).view("<u8").ravel()
 
 
-def _joined(table: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray]:
-    return common.text_bytes(table[name])
+def _packed_texts(docs: DataFrame, n_batches: int) -> DataFrame:
+    """(batch, key, doc_id, size, packed) of keyed documents: texts travel compressed, with their length."""
+
+    def pack(batches):
+        for batch in batches:
+            data, at = common.text_bytes(batch.column(3))
+            raw = data.tobytes()
+            packed = [_squeezed(raw[a:b]) for a, b in zip(at.tolist(), at[1:].tolist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.diff(at)), pa.array(packed, pa.binary())], names=["batch", "key", "doc_id", "size", "packed"])
+
+    batch = F.pmod(F.xxhash64("_q_key"), F.lit(n_batches)).cast("int").alias("batch")
+    return docs.select(batch, F.col("_q_key").alias("key"), "doc_id", "text").mapInArrow(pack, "batch int, key long, doc_id long, size long, packed binary")
+
+
+def _texts(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    sizes = table["size"].to_numpy()
+    raw = b"".join(_restored(x.as_buffer(), n) for x, n in zip(table["packed"], sizes.tolist()))
+    return np.frombuffer(raw, np.uint8), np.concatenate([[0], np.cumsum(sizes)])
 
 
 def count_and_join(batches: DataFrame, buckets: int, order: int) -> DataFrame:
     """(batch, bucket, totals): for each batch the corpus's counts of its distinct n-grams, in their order."""
 
     def explode(key, table):
-        found, counts = _batch_counts(*_joined(table, "text"), order)
+        found, counts = _batch_counts(*_texts(table), order)
         cuts = _bucket_cuts(found, buckets)
         rows = [(i, a, b) for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
         return pa.table({
@@ -135,12 +157,11 @@ def lm_scores(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, b
     common.bounded_arrow(spark)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_batches, buckets = max(1, -(-size // BATCH_BYTES)), max(1, -(-size // BUCKET_BYTES))
-    batches = docs.select(F.pmod(F.xxhash64("_q_key"), F.lit(n_batches)).cast("int").alias("batch"), F.col("_q_key").alias("key"), "doc_id", "text")
-    batches = batches.repartition(common.partitions(spark), "batch")
+    batches = _packed_texts(docs, n_batches).repartition(common.partitions(spark), "batch")
     totals = count_and_join(batches, buckets, order)
 
     def score(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        data, at = _joined(texts, "text")
+        data, at = _texts(texts)
         levels, place, bounds = ngrams(data, at, order)
         found, _ = _batch_counts(data, at, order)
         answered = sorted(zip(answers["bucket"].to_pylist(), answers["totals"].to_pylist()))
