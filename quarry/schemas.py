@@ -4,22 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+STRING, INT, LONG, DOUBLE = T.StringType(), T.IntegerType(), T.LongType(), T.DoubleType()
 
-def _of(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
 
+def _of(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in fields.items()])
 
-SOURCE_FILES = _of("path string, suffix string, hash string, content string")
-CHUNKS = _of("id string, file_path string, text string, start int, end int, kind string, ordinal long")
-POSTINGS = _of("term string, chunk_id string, ordinal long, tf long")
-TERM_STATS = _of("term string, df long, idf double")
-DOC_STATS = _of("chunk_id string, ordinal long, dl long")
-CORPUS_STATS = _of("n_docs long, avgdl double")
-EMBEDDINGS = _of("chunk_id string, embedding array<float>")
-MANIFEST = _of("path string, hash string, max_chunk_size int, chunk_ids array<string>")
-RANKING = _of("qid string, rank int, chunk_id string, score double")
+
+CHUNKS = _of(id=STRING, file_path=STRING, text=STRING, start=INT, end=INT, kind=STRING, ordinal=LONG)
+POSTINGS = _of(term=STRING, chunk_id=STRING, ordinal=LONG, tf=LONG)
+TERM_STATS = _of(term=STRING, df=LONG, idf=DOUBLE)
+DOC_STATS = _of(chunk_id=STRING, ordinal=LONG, dl=LONG)
+CORPUS_STATS = _of(n_docs=LONG, avgdl=DOUBLE)
+EMBEDDINGS = _of(chunk_id=STRING, embedding=T.ArrayType(T.FloatType()))
+MANIFEST = _of(path=STRING, hash=STRING, max_chunk_size=INT, chunk_ids=T.ArrayType(STRING))
+QUERY_CACHE = _of(key=STRING, mode=STRING, index_version=STRING, rank=INT, chunk_id=STRING)
 
 SPAN = "struct<file_path:string, first_character_index:int, last_character_index:int>"
-DATASET = _of(f"rag_questions array<struct<question_id:string, question:string, sources:array<{SPAN}>, answer:string>>, _corrupt string")
-SEARCH_RESULTS = _of(f"search_results array<struct<question_id:string, question:string, retrieved_sources:array<{SPAN}>, answer:string>>, k int, _corrupt string")
-QUERY_CACHE = _of("key string, mode string, index_version string, rank int, chunk_id string")
+_SPANS = T.ArrayType(_of(file_path=STRING, first_character_index=INT, last_character_index=INT))
+DATASET = _of(rag_questions=T.ArrayType(_of(question_id=STRING, question=STRING, sources=_SPANS, answer=STRING)), _corrupt=STRING)
+SEARCH_RESULTS = _of(search_results=T.ArrayType(_of(question_id=STRING, question=STRING, retrieved_sources=_SPANS, answer=STRING)), k=INT, _corrupt=STRING)
