@@ -52,16 +52,17 @@ def build(chunks: DataFrame) -> LexicalIndex:
 
 def build_for(chunks: DataFrame, terms: DataFrame) -> LexicalIndex:
     """As build(), but with the postings of the given terms (a column ``term``) only: other tokens are dropped
-    before anything is shuffled."""
+    before anything is shuffled, and postings are dealt by chunk, so that scores need no further shuffle."""
     tokens = tokens_of(chunks)
     doc_stats = document_lengths(tokens)
     stats = corpus(doc_stats).persist()
     n_docs = stats.first()["n_docs"]
     wanted = terms.select("term").distinct()
     exploded = tokens.select("chunk_id", "ordinal", F.size("tokens").cast("long").alias("dl"), F.explode("tokens").alias("term"))
-    postings = exploded.join(bounded(wanted), "term", "left_semi").groupBy("term", "chunk_id", "ordinal", "dl").agg(F.count("*").alias("tf"))
+    held = exploded.join(bounded(wanted), "term", "left_semi").repartition("ordinal")
+    postings = held.groupBy("ordinal", "term").agg(F.first("chunk_id").alias("chunk_id"), F.first("dl").alias("dl"), F.count("*").alias("tf")).persist()
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    return LexicalIndex(postings, df.withColumn("idf", ranking.idf(F.lit(n_docs), F.col("df"))), doc_stats, stats)
+    return LexicalIndex(postings, df.withColumn("idf", ranking.idf(F.lit(n_docs), F.col("df"))).persist(), doc_stats, stats)
 
 
 #: A table of at most so many narrow rows may be broadcast.
