@@ -1,22 +1,23 @@
 """Operator 10, MinHash near-dedup with HyperMinHash.
 
 Each document's set of word shingles is hashed once. The top bits of a hash choose one of
-``REGISTERS`` buckets; a bucket keeps its least hash as a count of leading zeros (6 bits) and the 10
-mantissa bits after the first one. Empty buckets borrow from others in an order fixed for each
-bucket, so that two documents borrow alike. Bands of ``ROWS`` compressed registers make buckets of
-candidates; the share of equal registers, corrected for chance collisions, estimates the Jaccard
-similarity; candidates within ``MARGIN`` of the threshold are verified on their full shingle sets.
+``REGISTERS`` buckets; a bucket keeps its least hash as a count of leading zeros (6 bits) and the 9
+mantissa bits after the first one. Bands of ``ROWS`` compressed registers make groups of candidates;
+in these, empty buckets borrow from others in an order fixed for each bucket, so that two documents borrow
+alike. Of the buckets that either document has filled itself, the share of equal registers, corrected for
+chance collisions, estimates the Jaccard similarity; candidates that may reach the threshold, to
+``ERRORS`` standard errors, are verified on their full shingle sets.
 
 Documents with one shingle set are one class, of which only the first takes part. In a bucket of
 classes, each is first held against the bucket's first one (linear). Verified links give components.
 Then, in buckets that still hold several components, the members outside the largest one are held
-against all members, by pairs where a bucket is small, else by blocks of ``BLOCK`` members whose
-registers are compared in place, so only pairs that may be links leave a task. The first such round
+against all others: by pairs where a bucket is small, else against that whole component (once for
+all bands) and against each other, by blocks of ``BLOCK`` members whose registers are compared in
+place, so only pairs that may be links leave a task. The first such round
 verifies each member's best estimates only, the second whatever candidates are still apart, so
 every candidate pair in different components is verified and none is lost to a cap.
 
-Two documents of similarity 0.8 share a band with probability 1 - (1 - 0.8^4)^32 > 0.9999999; the
-margin is five standard errors of the estimate.
+Two documents of similarity 0.8 share a band with probability 1 - (1 - 0.8^4)^32 > 0.9999999.
 
 Odd input: null, empty or blank texts have an empty set and are linked with nothing; texts of fewer
 words than a shingle have one shingle, all their words. Ties of components go to the least id.
@@ -34,10 +35,12 @@ from quarry.llm.graph import components
 
 WORDS = 5
 THRESHOLD_PERCENT = 80
-REGISTERS, BANDS, ROWS = 256, 32, 4
-MARGIN = 0.125
+REGISTERS, BANDS, ROWS = 512, 32, 4
+ERRORS = 4.5
 SMALL_BUCKET, BLOCK, BEST = 24, 512, 3
-_MANTISSA = 10
+_MANTISSA = 9
+#: Marks a register that its bucket hasn't filled itself; such registers serve in bands alone.
+_BORROWED = np.uint16(1 << 15)
 #: Expected share of equal registers of unrelated sets, for this many mantissa bits.
 _COLLISIONS = 0.1699 / (1 << _MANTISSA)
 
@@ -66,49 +69,56 @@ def shingle_sets(data: np.ndarray, at: np.ndarray, width: int = WORDS) -> tuple[
     return np.concatenate(parts) if parts else np.zeros(0, np.uint64), np.concatenate([[0], np.cumsum(sizes)])
 
 
-def _orders(m: int) -> np.ndarray:
-    """For each bucket, the order in which it asks the others when it is empty."""
-    return np.argsort(common.mix(np.arange(m * m, dtype=np.uint64) + np.uint64(1)).reshape(m, m), axis=1)
+def _orders(m: int, rows: int) -> np.ndarray:
+    """For each of the first buckets, the order in which it asks all others when it is empty."""
+    return np.argsort(common.mix(np.arange(rows * m, dtype=np.uint64) + np.uint64(1)).reshape(rows, m), axis=1)
 
 
-_ORDERS = _orders(REGISTERS)
+_ORDERS = _orders(REGISTERS, BANDS * ROWS)
 
 
 def registers(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """The compressed registers (texts x REGISTERS, 16 bits) of sets as shingle_sets gives them."""
-    n = len(bounds) - 1
-    out, filled = np.zeros((n, REGISTERS), np.uint16), np.zeros((n, REGISTERS), bool)
-    of = common.spread(bounds)
-    bucket = (hashes >> np.uint64(56)).astype(np.int64)
-    cell = of * REGISTERS + bucket
+    n, banded = len(bounds) - 1, BANDS * ROWS
+    out = np.full((n, REGISTERS), _BORROWED, np.uint16)
+    filled = np.zeros((n, REGISTERS), bool)
+    bucket = (hashes >> np.uint64(64 - REGISTERS.bit_length() + 1)).astype(np.int64)
+    cell = common.spread(bounds) * REGISTERS + bucket
     first = np.ones(len(cell), bool)
     first[1:] = cell[1:] != cell[:-1]  # hashes are sorted, so a bucket's first is its least
-    value = (hashes[first] & np.uint64((1 << 56) - 1)) >> np.uint64(4)  # 52 bits, exact as a double
+    value = (hashes[first] << np.uint64(REGISTERS.bit_length() - 1)) >> np.uint64(12)  # 52 bits, exact as a double
     length = np.frexp(value.astype(np.float64))[1].astype(np.int64)
-    zeros = 52 - length
     shift = np.maximum(length - 1 - _MANTISSA, 0).astype(np.uint64)
     mantissa = (value >> shift) & np.uint64((1 << _MANTISSA) - 1)
-    out.ravel()[cell[first]] = (zeros.astype(np.uint16) << np.uint16(_MANTISSA)) | mantissa.astype(np.uint16)
+    out.ravel()[cell[first]] = ((52 - length).astype(np.uint16) << np.uint16(_MANTISSA)) | mantissa.astype(np.uint16)
     filled.ravel()[cell[first]] = True
-    row, column = np.nonzero(~filled & filled.any(axis=1)[:, None])
+    row, column = np.nonzero(~filled[:, :banded] & filled.any(axis=1)[:, None])
     own = out.copy()
     for step in range(REGISTERS):
         if not len(row):
             break
         asked = _ORDERS[column, step]
         found = filled[row, asked]
-        own[row[found], column[found]] = out[row[found], asked[found]]
+        own[row[found], column[found]] = out[row[found], asked[found]] | _BORROWED
         row, column = row[~found], column[~found]
     return own
 
 
-def estimate(equal: np.ndarray) -> np.ndarray:
-    """Jaccard similarity from numbers of equal registers."""
-    return (equal / REGISTERS - _COLLISIONS) / (1 - _COLLISIONS)
+def likely(x: tuple, y: tuple, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(estimated similarity, whether it may be the threshold) of rows of registers and set sizes."""
+    (a, n_a), (b, n_b) = x, y
+    own = (a < _BORROWED) | (b < _BORROWED)
+    used = np.maximum(own.sum(axis=-1), 1)
+    equal = ((a == b) & own).sum(axis=-1)
+    found = (equal / used - _COLLISIONS) / (1 - _COLLISIONS)
+    level = percent / 100
+    union = (n_a.astype(np.float64) + n_b) / (1 + level)  # at the threshold
+    error = np.sqrt(level * (1 - level) / used * np.clip(1 - used / np.maximum(union, 1), 0.02, 1))
+    return found, found >= level - ERRORS * error
 
 
 def sketches(docs: DataFrame, width: int = WORDS) -> DataFrame:
-    """(key, doc_id, n, mark, registers) of keyed documents: size and fingerprint of the set, and its registers."""
+    """(key, doc_id, n, mark, registers) of keyed documents: size and fingerprint of the set, and its size and registers in bytes."""
 
     def sketch(batches):
         for batch in batches:
@@ -116,8 +126,9 @@ def sketches(docs: DataFrame, width: int = WORDS) -> DataFrame:
             for a, b in common.slices(at):
                 hashes, bounds = shingle_sets(data[at[a] : at[b]], at[a : b + 1] - at[a], width)
                 sums = np.concatenate([[np.uint64(0)], np.cumsum(common.mix(hashes + np.uint64(77)), dtype=np.uint64)])
-                raw = registers(hashes, bounds).astype("<u2").tobytes()
-                size = 2 * REGISTERS
+                sizes = np.diff(bounds).astype("<u4")[:, None]
+                raw = np.hstack([sizes.view(np.uint8).reshape(-1, 4), registers(hashes, bounds).astype("<u2").view(np.uint8).reshape(-1, 2 * REGISTERS)]).tobytes()
+                size = 2 * REGISTERS + 4
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0)[a:b], batch.column(1)[a:b], pa.array(np.diff(bounds)), common.longs(sums[bounds[1:]] - sums[bounds[:-1]]),
                     pa.array([raw[i * size : (i + 1) * size] for i in range(b - a)], pa.binary()),
@@ -127,25 +138,27 @@ def sketches(docs: DataFrame, width: int = WORDS) -> DataFrame:
     return docs.select("_q_key", "doc_id", "text").mapInArrow(sketch, "key long, doc_id long, n long, mark long, registers binary")
 
 
-def _table(column: pa.Array) -> np.ndarray:
-    raw = b"".join(column.to_pylist())
-    return np.frombuffer(raw, "<u2").reshape(len(column), REGISTERS)
+def _table(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    raw = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), 2 * REGISTERS + 4)
+    return np.ascontiguousarray(raw[:, 4:]).view("<u2"), np.ascontiguousarray(raw[:, :4]).view("<u4").ravel()
 
 
-def _of(classes: DataFrame, ids: DataFrame) -> DataFrame:
-    """The classes of some ids, so that no other registers are moved."""
-    return classes.join(common.small(ids.distinct()), F.col("rep") == F.col("id"), "left_semi")
+def _of(sets: DataFrame, ids: DataFrame) -> DataFrame:
+    """(rep, registers) of some ids, so that no other registers are moved."""
+    return sets.join(common.small(ids.select(F.col(ids.columns[0]).alias("id")).distinct()), F.col("key") == F.col("id"), "left_semi").select(F.col("key").alias("rep"), "registers")
 
 
-def _estimated(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose estimate is least or more."""
-    own = lambda name: _of(classes, pairs.select(F.col(name).alias("id"))).select(F.col("rep").alias(name), F.col("registers").alias(f"registers_{name}"))
+def _estimated(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that may be links by their registers."""
+    own = lambda name: _of(sets, pairs.select(name)).select(F.col("rep").alias(name), F.col("registers").alias(f"registers_{name}"))
     joined = pairs.join(own("a"), "a").join(own("b"), "b").select("a", "b", "registers_a", "registers_b")
 
     def keep(batches):
         for batch in batches:
-            equal = (_table(batch.column(2)) == _table(batch.column(3))).sum(axis=1) if batch.num_rows else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(estimate(equal) >= least))
+            for i in range(0, batch.num_rows, 1_000):
+                part = batch.slice(i, 1_000)
+                _, held = likely(_table(part.column(2)), _table(part.column(3)), percent)
+                yield pa.RecordBatch.from_arrays(part.columns[:2], names=["a", "b"]).filter(pa.array(held))
 
     return joined.mapInArrow(keep, "a long, b long")
 
@@ -178,65 +191,89 @@ def verified(docs: DataFrame, pairs: DataFrame, percent: int = THRESHOLD_PERCENT
     return common.pinned(joined.mapInArrow(confirm, "a long, b long"))
 
 
-def _apart(shared: DataFrame, classes: DataFrame, links: DataFrame, best: int | None, least: float) -> DataFrame:
-    """Candidate pairs (a, b) of one bucket in different components, estimated at least or more; best:
-    of each probed member only so many, the most similar."""
-    found = components(links)
-    members = shared.join(found, shared["rep"] == found["id"], "left").select("band", "rep", F.coalesce("component", "rep").alias("component"))
-    counts = members.groupBy("band", "component").agg(F.count("*").alias("n"))
-    split = counts.groupBy("band").agg(F.count("*").alias("parts"), F.sum("n").alias("size"), F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("most"))
-    split = split.where("parts > 1").select("band", "size", "main", (F.col("size") - F.col("most")).alias("probes"))
-    members = common.pinned(members.join(split, "band"))
+def _blocks(left: DataFrame, right: DataFrame, by: str, sets: DataFrame, percent: int, best: int | None, banded: bool) -> DataFrame:
+    """Pairs (a, b) that may be links, of rows (by, rep, component) with one ``by`` and different components.
 
-    few = members.where(F.col("size") <= SMALL_BUCKET)
-    left = few.where("component <> main").select("band", F.col("rep").alias("a"), F.col("component").alias("of_a"))
-    right = few.select("band", F.col("rep").alias("b"), F.col("component").alias("of_b"))
-    pairs = left.join(right, "band").where("of_a <> of_b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    close = _estimated(common.pinned(pairs), classes, least)
-
-    many = members.where(F.col("size") > SMALL_BUCKET)
-    many = many.join(_of(classes, many.select(F.col("rep").alias("id"))).select("rep", "registers"), "rep")
-    lefts, rights = F.ceil(F.col("probes") / BLOCK).cast("int"), F.ceil(F.col("size") / BLOCK).cast("int")
+    Both sides of a group are dealt into parts of BLOCK rows at most, and every two parts meet in one task, which
+    compares registers in place. banded: a pair counts at the first band that it shares, which is ``number``.
+    """
     part = lambda n: F.pmod(F.xxhash64("rep"), n).cast("int")
     all_of = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    columns = ["band", "left", "right", "rep", "component", "registers"]
-    probes = many.where("component <> main").withColumn("left", part(lefts)).withColumn("right", all_of(rights)).select(*columns).toDF(*columns)
-    others = many.withColumn("right", part(rights)).withColumn("left", all_of(lefts)).select(*columns).toDF(*columns)
+    sizes = lambda df, name: df.groupBy(by).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
+    parts = common.pinned(sizes(left, "lefts").join(sizes(right, "rights"), by))
+    columns = [by, "left", "right", "number", "rep", "component", "registers"]
+    registers_of = lambda df: df.join(_of(sets, df.select("rep")), "rep").join(parts, by)
+    x = registers_of(left).withColumn("left", part(F.col("lefts"))).withColumn("right", all_of(F.col("rights"))).select(*columns).toDF(*columns)
+    y = registers_of(right).withColumn("right", part(F.col("rights"))).withColumn("left", all_of(F.col("lefts"))).select(*columns).toDF(*columns)
 
     def compare(x: pa.Table, y: pa.Table) -> pa.Table:
         out_a, out_b = [], []
         if x.num_rows and y.num_rows:
-            tx, ty = _table(x["registers"].combine_chunks()), _table(y["registers"].combine_chunks())
+            (tx, nx), (ty, ny) = _table(x["registers"].combine_chunks()), _table(y["registers"].combine_chunks())
             rx, ry, cx, cy = (t[c].to_numpy() for c in ("rep", "component") for t in (x, y))
+            number = x["number"][0].as_py()
+            bands = lambda t: t[..., : BANDS * ROWS].reshape(*t.shape[:-1], BANDS, ROWS)
             for i in range(len(tx)):
-                equal = estimate((ty == tx[i]).sum(axis=1))
-                held = np.flatnonzero((equal >= least) & (cy != cx[i]))
+                apart = np.flatnonzero(cy != cx[i])
+                near, held = likely((tx[i], nx[i]), (ty[apart], ny[apart]), percent)
+                near, held = near[held], apart[held]
+                if banded:
+                    first = (bands(tx[i]) == bands(ty[held])).all(axis=-1).argmax(axis=-1) == number
+                    near, held = near[first], held[first]
                 if best:
-                    held = held[np.lexsort((ry[held], -equal[held]))[:best]]
+                    held = held[np.lexsort((ry[held], -near))[:best]]
                 out_a += [min(int(rx[i]), j) for j in ry[held].tolist()]
                 out_b += [max(int(rx[i]), j) for j in ry[held].tolist()]
         return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
 
-    keys = ["band", "left", "right"]
-    blocks = probes.groupBy(*keys).cogroup(others.groupBy(*keys)).applyInArrow(compare, "a long, b long")
-    return close.unionByName(blocks).distinct()
+    keys = [by, "left", "right"]
+    return x.groupBy(*keys).cogroup(y.groupBy(*keys)).applyInArrow(compare, "a long, b long")
+
+
+def _apart(shared: DataFrame, sets: DataFrame, links: DataFrame, best: int | None, percent: int) -> DataFrame:
+    """Candidate pairs (a, b) in different components that may be links; best: of each probed member
+    only so many of a block, the most similar."""
+    found = components(links)
+    members = shared.join(found, shared["rep"] == found["id"], "left").select("band", "number", "rep", F.coalesce("component", "rep").alias("component"))
+    counts = members.groupBy("band", "component").agg(F.count("*").alias("n"))
+    split = counts.groupBy("band").agg(F.count("*").alias("parts"), F.sum("n").alias("size"), F.max_by("component", F.struct("n", "component")).alias("main"))
+    members = common.pinned(members.join(split.where("parts > 1").drop("parts"), "band"))
+
+    few = members.where(F.col("size") <= SMALL_BUCKET)
+    left = few.where("component <> main").select("band", F.col("rep").alias("a"), F.col("component").alias("of_a"))
+    right = few.select("band", F.col("rep").alias("b"), F.col("component").alias("of_b"))
+    pairs = left.join(right, "band").where("of_a <> of_b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    close = _estimated(common.pinned(pairs), sets, percent)
+
+    others = common.pinned(members.where((F.col("size") > SMALL_BUCKET) & (F.col("component") != F.col("main"))))
+    # against the largest component of each of its groups, once for all bands
+    zero = F.lit(0).alias("number")
+    probes = common.pinned(others.select(F.col("main").alias("of"), "rep", "component", zero).distinct())
+    whole = members.select("rep", "component").distinct().unionByName(found.select(F.col("id").alias("rep"), "component")).distinct()
+    mains = common.pinned(whole.join(common.small(probes.select("of").distinct()), F.col("component") == F.col("of"), "left_semi").select(F.col("component").alias("of"), "rep", "component", zero))
+    with_main = _blocks(probes, mains, "of", sets, percent, best, False)
+    # against each other, band by band
+    among = _blocks(others, others, "band", sets, percent, best, True)
+    return close.unionByName(with_main).unionByName(among).distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = THRESHOLD_PERCENT, width: int = WORDS) -> DataFrame:
     """(key, doc_id, n_shingles, component, component_id) of keyed documents; component is the least key
     of those reached by links, component_id that document's id; width: words of a shingle."""
-    least = percent / 100 - MARGIN
     sets = common.pinned(sketches(docs, width))
-    classes = common.pinned(sets.where("n > 0").groupBy("mark", "n").agg(F.min(F.struct("key", "doc_id", "registers")).alias("one")).select("mark", "n", "one.*").withColumnRenamed("key", "rep"))
+    classes = common.pinned(sets.where("n > 0").groupBy("mark", "n").agg(F.min(F.struct("key", "doc_id")).alias("one")).select("mark", "n", F.col("one.key").alias("rep"), "one.doc_id"))
     raw = 2 * ROWS
-    keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("registers"), i * raw + 1, F.lit(raw))))
-    bands = classes.select("rep", F.explode(keys).alias("band"))
+    keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("registers"), i * raw + 5, F.lit(raw))))
+    firsts = sets.join(classes.select("rep").hint("merge"), F.col("key") == F.col("rep"), "left_semi")
+    bands = firsts.select(F.col("key").alias("rep"), F.posexplode(keys).alias("number", "band"))
     buckets = common.pinned(bands.groupBy("band").agg(F.min("rep").alias("hub"), F.count("*").alias("size")).where("size > 1").select("band", "hub"))
     shared = common.pinned(bands.join(buckets, "band"))
     stars = common.pinned(shared.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct())
-    links = verified(docs, common.pinned(_estimated(stars, classes, least)), percent, width)
+    links = verified(docs, common.pinned(_estimated(stars, sets, percent)), percent, width)
+    tried = stars
     for best in (BEST, None):
-        pairs = common.pinned(_apart(shared, classes, links, best, least))
+        pairs = common.pinned(_apart(shared, sets, links, best, percent).join(tried, ["a", "b"], "left_anti"))
+        tried = tried.unionByName(pairs)
         if not pairs.limit(1).count():
             break
         links = common.pinned(links.unionByName(verified(docs, pairs, percent, width)))
