@@ -35,12 +35,12 @@ def _parts(raw: Column) -> Column:
 def tokenize(text: Column) -> Column:
     """Lower-cased tokens in order, with repeats. Names with an underscore or an inner capital also give
     their parts and skip the stop words; null and empty text give no tokens."""
-    stop = F.array(*[F.lit(w) for w in STOPWORDS])
 
     def expand(raw: Column) -> Column:
-        lowered = F.lower(raw)
-        name = raw.contains("_") | F.substring(raw, 2, 2**31 - 1).rlike("[A-Z]")
-        prose = F.when(_valid(lowered) & ~F.array_contains(stop, lowered), F.array(lowered)).otherwise(F.array().cast("array<string>"))
+        # lower-casing ASCII tells an inner capital without a regular expression; prose has no underscore
+        lowered, rest = F.lower(raw), F.substring(raw, 2, 2**31 - 1)
+        name = raw.contains("_") | (rest != F.lower(rest))
+        prose = F.when((F.length(lowered) >= MIN_TOKEN) & ~lowered.isin(*STOPWORDS), F.array(lowered)).otherwise(F.array().cast("array<string>"))
         return F.when(name, F.filter(_parts(raw), _valid)).otherwise(prose)
 
     return F.flatten(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0)), expand))

@@ -60,7 +60,7 @@ def build_for(chunks: DataFrame, terms: DataFrame) -> LexicalIndex:
     wanted = terms.select("term").distinct()
     exploded = tokens.select("chunk_id", "ordinal", F.size("tokens").cast("long").alias("dl"), F.explode("tokens").alias("term"))
     held = exploded.join(bounded(wanted), "term", "left_semi").repartition("ordinal")
-    postings = held.groupBy("ordinal", "term").agg(F.first("chunk_id").alias("chunk_id"), F.first("dl").alias("dl"), F.count("*").alias("tf")).persist()
+    postings = held.groupBy("ordinal", "chunk_id", "dl", "term").agg(F.count("*").alias("tf")).persist()
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
     return LexicalIndex(postings, df.withColumn("idf", ranking.idf(F.lit(n_docs), F.col("df"))).persist(), doc_stats, stats)
 

@@ -52,7 +52,7 @@ def bm25_scores(terms: DataFrame, index: LexicalIndex, k1: float = ranking.K1, b
         lengths = index.doc_stats.select("chunk_id", "dl")
         hits = hits.join(lengths, "chunk_id", "left").withColumn("dl", F.coalesce("dl", F.raise_error(F.lit("a posting of an unknown chunk")).cast("long")))
     one = F.col("qtf") * ranking.bm25(F.col("tf"), F.col("dl"), F.lit(avgdl), F.col("idf"), k1, b)
-    sums = hits.groupBy("qid", "ordinal").agg(F.first("chunk_id").alias("chunk_id"), F.sum(one).alias("score"), F.min("qpos").alias("qpos"))
+    sums = hits.groupBy("qid", "ordinal", "chunk_id").agg(F.sum(one).alias("score"), F.min("qpos").alias("qpos"))
     return sums.withColumn("score", F.round("score", ranking.PLACES))
 
 
