@@ -89,7 +89,7 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without recurring lines; those left without any text go."""
     rows = common.keyed(docs.withColumn("text", F.coalesce("text", F.lit(""))), docs.columns)
-    found = line_dedup(rows).where("_q_gone = 0 or trim(text) <> ''")
+    found = line_dedup(rows).where((F.col("_q_gone") == 0) | F.col("text").rlike(r"\S"))
     if "n_chars" in docs.columns:
         found = found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return found.select(*docs.columns)

@@ -28,7 +28,7 @@ def test_pipeline(spark):
     found = corpus_pipeline.run(spark, DATA).collect()
     rows = sorted((r.doc_id, r.text) for r in docs.collect() if r.text and any(c.isalpha() for c in r.text))
     kept = brute_lines(rows)
-    rows = [(d, kept[d]) for d, t in rows if kept[d] == t or kept[d].strip(" ")]
+    rows = [(d, kept[d]) for d, t in rows if kept[d] == t or kept[d].strip()]
     rows = [(d, t) for (d, t), (_, c) in zip(rows, brute_components(rows, 5)) if d == c]
     got = {r.doc_id: r.text for r in found}
     missing = {d for d, _ in rows} - set(got)
