@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step works on, so that memory follows this and not the batch.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -32,8 +32,8 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def bounded_arrow(spark: SparkSession) -> None:
     """Bounds what one Arrow batch of whole texts can hold."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -213,7 +213,7 @@ def words(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray = ~_SPACE) ->
 def sliced_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """As words(), slice by slice, so that memory beside the result follows the slice."""
     parts, bounds = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)]
-    for a, b in slices(offsets, SLICE_BYTES // 2):
+    for a, b in slices(offsets):
         prints, own = words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
         parts.append(prints)
         bounds.append(own[1:] + bounds[-1][-1])

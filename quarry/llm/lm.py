@@ -60,8 +60,7 @@ def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return values[first], np.diff(np.append(first, len(values)))
 
 
-def _batch_counts(data: np.ndarray, at: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-    levels, _, bounds = ngrams(data, at, order)
+def _batch_counts(levels: list[np.ndarray], bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     found, counts = _distinct(np.concatenate([x[x != 0] for x in levels] + [np.array([_ALL])]))
     counts[np.searchsorted(found, _ALL)] = bounds[-1]
     return found, counts
@@ -122,7 +121,8 @@ def count_and_join(batches: DataFrame, buckets: int, order: int) -> DataFrame:
     """(batch, bucket, totals): for each batch the corpus's counts of its distinct n-grams, in their order."""
 
     def explode(key, table):
-        found, counts = _batch_counts(*_texts(table), order)
+        levels, _, bounds = ngrams(*_texts(table), order)
+        found, counts = _batch_counts(levels, bounds)
         cuts = _bucket_cuts(found, buckets)
         rows = [(i, a, b) for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
         return pa.table({
@@ -161,9 +161,8 @@ def lm_scores(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, b
     totals = count_and_join(batches, buckets, order)
 
     def score(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        data, at = _texts(texts)
-        levels, place, bounds = ngrams(data, at, order)
-        found, _ = _batch_counts(data, at, order)
+        levels, place, bounds = ngrams(*_texts(texts), order)
+        found, _ = _batch_counts(levels, bounds)
         answered = sorted(zip(answers["bucket"].to_pylist(), answers["totals"].to_pylist()))
         total = np.concatenate([_unpack(x) for _, x in answered]).astype(np.float64)
         counts = []

@@ -35,7 +35,7 @@ from quarry.llm import common
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Segments that each generation of a worker's cache holds, and their greatest length.
-CACHED, CACHED_LENGTH = 250_000, 48
+CACHED, CACHED_LENGTH = 150_000, 48
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
