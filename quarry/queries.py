@@ -189,7 +189,7 @@ def _lexical(spark, sf_dir, chunks: DataFrame | None = None) -> tuple[DataFrame,
 
 def _bm25(spark, sf_dir, k: int = 10, b: float = ranking.B, chunks: DataFrame | None = None) -> DataFrame:
     asked, index = _lexical(spark, sf_dir, chunks)
-    return retrieve.top(retrieve.bm25_scores(asked, index, b=b), k, "qpos", "ordinal")
+    return retrieve.top(retrieve.bm25_scores(asked, index, b=b), k, "qpos", "ordinal").persist()  # k rows a question
 
 
 @query(f"WITH {DOC_TOKENS}, {ITEM_TOKENS}, {DOC_BM25} SELECT qid AS item_id, id AS doc_id, score FROM scores")
@@ -268,7 +268,7 @@ d AS (SELECT qid, vec_id AS id, round(list_inner_product(seed.e, v.e), 9) AS sco
 SELECT qid AS item_id, rank, id AS doc_id, score FROM fused""")
 def hybrid_topk(spark, sf_dir):
     """Lexical results fused with the neighbours of the best of them that has a vector."""
-    first = _bm25(spark, sf_dir, retrieve.candidates(10)).persist()
+    first = _bm25(spark, sf_dir, retrieve.candidates(10))
     vectors = _vectors(spark, sf_dir)
     seeds = vectors.join(lexical.bounded(first.select("qid", "chunk_id", "rank")), "chunk_id").groupBy("qid").agg(F.min_by("embedding", "rank").alias("embedding"))
     found = retrieve.fuse(first, retrieve.dense(seeds, vectors, retrieve.candidates(10)), 10)
