@@ -13,6 +13,8 @@ docstring says otherwise:
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import json
 from collections.abc import Iterator
@@ -94,6 +96,26 @@ def partitions(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def _release() -> None:
+    """Gives unused memory back to the system: a worker lives on after its task."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # other C libraries
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(f):
+    """f, an iterator over Arrow batches, followed by a release of memory at the end of each task."""
+
+    def run(batches):
+        try:
+            yield from f(batches)
+        finally:
+            _release()
+
+    return run
+
+
 def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column as one array, and the n+1 offsets of its rows; null is empty."""
     if isinstance(column, pa.ChunkedArray):

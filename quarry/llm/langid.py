@@ -73,7 +73,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarra
                 n = np.bincount(code[of == name], minlength=1)
                 yield pa.RecordBatch.from_arrays([pa.array([name] * np.count_nonzero(n)), pa.array(np.flatnonzero(n)), pa.array(n[n > 0])], names=["lang", "bucket", "n"])
 
-    found = rows.select("lang", "text").mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow().to_pydict()
+    found = rows.select("lang", "text").mapInArrow(common.lean(count), "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow().to_pydict()
     names = sorted(set(found["lang"]))
     counts = np.full((len(names), BUCKETS), 0.2)
     place = {x: i for i, x in enumerate(names)}
@@ -106,7 +106,7 @@ def text_scores(rows: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFra
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "trigrams long, scores array<double>"])
     common.bounded_arrow(rows.sparkSession)
-    return rows.select(*[f.name for f in kept], "body").mapInArrow(score, schema)
+    return rows.select(*[f.name for f in kept], "body").mapInArrow(common.lean(score), schema)
 
 
 def _softmax(scores: Column) -> Column:

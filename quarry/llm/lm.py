@@ -108,7 +108,7 @@ def _packed_texts(docs: DataFrame, n_batches: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.diff(at)), pa.array(packed, pa.binary())], names=["batch", "key", "doc_id", "size", "packed"])
 
     batch = F.pmod(F.xxhash64("_q_key"), F.lit(n_batches)).cast("int").alias("batch")
-    return docs.select(batch, F.col("_q_key").alias("key"), "doc_id", "text").mapInArrow(pack, "batch int, key long, doc_id long, size long, packed binary")
+    return docs.select(batch, F.col("_q_key").alias("key"), "doc_id", "text").mapInArrow(common.lean(pack), "batch int, key long, doc_id long, size long, packed binary")
 
 
 def _texts(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:

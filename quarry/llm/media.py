@@ -334,7 +334,7 @@ def store_media(df: DataFrame) -> DataFrame:
                 })
 
     common.bounded_arrow(df.sparkSession)
-    return df.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(store, "doc_id long, n_bytes long, payload_bytes long, media binary")
+    return df.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(common.lean(store), "doc_id long, n_bytes long, payload_bytes long, media binary")
 
 
 MEDIA_COLUMNS = "n_frames int, duration_ms long, hist_r array<long>, hist_g array<long>, hist_b array<long>, samples binary, media_bytes long, media_sha256 string, error string"
@@ -367,7 +367,7 @@ def media_columns(df: DataFrame, column: str = "media") -> DataFrame:
                 made = [pa.array(v, k) for v, k in zip(found, kinds)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *made], names=[*part.schema.names[:-1], *names])
 
-    return frame.mapInArrow(columns, schema)
+    return frame.mapInArrow(common.lean(columns), schema)
 
 
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -135,7 +135,7 @@ def sketches(docs: DataFrame, width: int = WORDS) -> DataFrame:
                 ], names=["key", "doc_id", "n", "mark", "registers"])
 
     common.bounded_arrow(docs.sparkSession)
-    return docs.select("_q_key", "doc_id", "text").mapInArrow(sketch, "key long, doc_id long, n long, mark long, registers binary")
+    return docs.select("_q_key", "doc_id", "text").mapInArrow(common.lean(sketch), "key long, doc_id long, n long, mark long, registers binary")
 
 
 def _table(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -160,7 +160,7 @@ def _estimated(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 _, held = likely(_table(part.column(2)), _table(part.column(3)), percent)
                 yield pa.RecordBatch.from_arrays(part.columns[:2], names=["a", "b"]).filter(pa.array(held))
 
-    return joined.mapInArrow(keep, "a long, b long")
+    return joined.mapInArrow(common.lean(keep), "a long, b long")
 
 
 def verified(docs: DataFrame, pairs: DataFrame, percent: int = THRESHOLD_PERCENT, width: int = WORDS) -> DataFrame:
@@ -175,7 +175,7 @@ def verified(docs: DataFrame, pairs: DataFrame, percent: int = THRESHOLD_PERCENT
                 hashes, bounds = shingle_sets(data[at[a] : at[b]], at[a : b + 1] - at[a], width)
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array([hashes[x:y].tobytes() for x, y in zip(bounds, bounds[1:])], pa.binary())], names=["key", "shingles"])
 
-    found = common.pinned(texts.mapInArrow(sets, "key long, shingles binary"))
+    found = common.pinned(texts.mapInArrow(common.lean(sets), "key long, shingles binary"))
     own = lambda name: found.select(F.col("key").alias(name), F.col("shingles").alias(f"shingles_{name}"))
     joined = pairs.join(own("b"), "b").join(own("a"), "a").select("a", "b", "shingles_a", "shingles_b")
 
@@ -188,7 +188,7 @@ def verified(docs: DataFrame, pairs: DataFrame, percent: int = THRESHOLD_PERCENT
                 held.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(held, pa.bool_()))
 
-    return common.pinned(joined.mapInArrow(confirm, "a long, b long"))
+    return common.pinned(joined.mapInArrow(common.lean(confirm), "a long, b long"))
 
 
 def _blocks(left: DataFrame, right: DataFrame, by: str, sets: DataFrame, percent: int, best: int | None, banded: bool) -> DataFrame:

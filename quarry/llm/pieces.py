@@ -23,6 +23,7 @@ from __future__ import annotations
 import re
 import struct
 from collections.abc import Iterator
+from functools import cached_property
 from pathlib import Path
 
 import numpy as np
@@ -68,8 +69,6 @@ class Model:
     """Pieces, scores and flags of a SentencePiece model file, with its automaton."""
 
     def __init__(self, raw: bytes):
-        import ahocorasick
-
         self.pieces, self.scores, self.kinds = [], [], []
         self.prefix, self.squeeze, self.unk = True, True, 0
         for number, value in _fields(raw):
@@ -87,17 +86,23 @@ class Model:
         self.unk = self.kinds.index(UNKNOWN)
         scores = [s for s, k in zip(self.scores, self.kinds) if k == NORMAL]
         self.unk_score = min(scores) - 10
-        self.automaton = ahocorasick.Automaton()
-        for i, (piece, kind) in enumerate(zip(self.pieces, self.kinds)):
-            if kind in (NORMAL, USER):
-                score = self.scores[i] if kind == NORMAL else len(piece) * max(scores) - 0.1
-                self.automaton.add_word(piece, (len(piece), score, i))
-        self.automaton.make_automaton()
         self.segmented = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p, k in zip(self.pieces, self.kinds) if k in (NORMAL, USER))
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.spellings = [b"" if k in (CONTROL, UNKNOWN) else bytes([int(p[3:5], 16)]) if k == BYTE else p.replace(SPACE, " ").encode() for p, k in zip(self.pieces, self.kinds)]
 
+    @cached_property
+    def automaton(self):
+        """Pieces with (length, score, id); made when the first text is encoded."""
+        import ahocorasick
+
+        automaton, most = ahocorasick.Automaton(), max(s for s, k in zip(self.scores, self.kinds) if k == NORMAL)
+        for i, (piece, kind) in enumerate(zip(self.pieces, self.kinds)):
+            if kind in (NORMAL, USER):
+                automaton.add_word(piece, (len(piece), self.scores[i] if kind == NORMAL else len(piece) * most - 0.1, i))
+        automaton.make_automaton()
+        return automaton
+
     def best(self, text: str) -> list[int]:
         """Ids of the best segmentation of normalised text."""
         n = len(text)
@@ -172,57 +177,65 @@ def _model(raw: bytes) -> Model:
     return _models[key]
 
 
-def _with_column(df: DataFrame, name: str, kind: str, make, source: str) -> DataFrame:
-    """df with one column more (or in place of one of that name), made from another's Arrow array."""
-    kept = [c for c in df.columns if c != name]
+def _with_columns(df: DataFrame, made: dict[str, str], make, source: str) -> DataFrame:
+    """df with columns more (or in place of those of their names), made from another's Arrow array."""
+    kept = [c for c in df.columns if c not in made]
     frame = df.select(*[df[c] for c in kept], df[source].alias("_q_source"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema if f.name != "_q_source"), f"`{name}` {kind}"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema if f.name != "_q_source"), *(f"`{n}` {k}" for n, k in made.items())])
 
     def add(batches):
         for batch in batches:
             *rest, column = batch.columns
-            yield pa.RecordBatch.from_arrays([*rest, make(column)], names=[*batch.schema.names[:-1], name])
+            yield pa.RecordBatch.from_arrays([*rest, *make(column)], names=[*batch.schema.names[:-1], *made])
 
     common.bounded_arrow(df.sparkSession)
-    return frame.mapInArrow(add, schema)
+    return frame.mapInArrow(common.lean(add), schema)
+
+
+def _encoded(model: Model, texts: pa.Array) -> pa.Array:
+    found = [None if t is None else model.encode(t) for t in texts.to_pylist()]
+    ends = np.cumsum([0, *(len(x) // 4 if x else 0 for x in found)])
+    flat = pa.array(np.frombuffer(b"".join(x for x in found if x), np.int32))
+    none = np.array([x is None for x in found], bool)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat, mask=pa.array(none) if none.any() else None)
+
+
+def _decoded(model: Model, ids: pa.Array) -> pa.Array:
+    bounds, flat = ids.offsets.to_numpy(), ids.values.to_numpy(zero_copy_only=False)
+    return pa.array([None if no else model.decode(flat[a:b].tolist()) for no, a, b in zip(ids.is_null().to_pylist(), bounds, bounds[1:])], pa.string())
 
 
 def encode(df: DataFrame, column: str = "text", into: str = "ids", model: str = MODEL) -> DataFrame:
     """df with the ids of a text column. The model file (half a MB) is read by the driver and sent along."""
     raw = Path(model).read_bytes()
-
-    def make(texts: pa.Array) -> pa.Array:
-        own = _model(raw)
-        found = [None if t is None else own.encode(t) for t in texts.to_pylist()]
-        ends = np.cumsum([0, *(len(x) // 4 if x else 0 for x in found)])
-        flat = pa.array(np.frombuffer(b"".join(x for x in found if x), np.int32))
-        none = np.array([x is None for x in found], bool)
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat, mask=pa.array(none) if none.any() else None)
-
-    return _with_column(df, into, "array<int>", make, column)
+    return _with_columns(df, {into: "array<int>"}, lambda texts: [_encoded(_model(raw), texts)], column)
 
 
 def decode(df: DataFrame, column: str = "ids", into: str = "decoded", model: str = MODEL) -> DataFrame:
     """df with the text that a column of ids stands for; ids out of range raise IndexError."""
     raw = Path(model).read_bytes()
+    return _with_columns(df, {into: "string"}, lambda ids: [_decoded(_model(raw), ids)], column)
+
+
+def round_trip(df: DataFrame, column: str = "text", into: str = "ids", back: str = "decoded", model: str = MODEL) -> DataFrame:
+    """As encode() and then decode(), in one pass."""
+    raw = Path(model).read_bytes()
 
-    def make(ids: pa.Array) -> pa.Array:
-        own = _model(raw)
-        bounds, flat = ids.offsets.to_numpy(), ids.values.to_numpy(zero_copy_only=False)
-        missing = ids.is_null().to_pylist()
-        return pa.array([None if no else own.decode(flat[a:b].tolist()) for no, a, b in zip(missing, bounds, bounds[1:])], pa.string())
+    def both(texts: pa.Array) -> list[pa.Array]:
+        ids = _encoded(_model(raw), texts)
+        return [ids, _decoded(_model(raw), ids)]
 
-    return _with_column(df, into, "string", make, column)
+    return _with_columns(df, {into: "array<int>", back: "string"}, both, column)
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text's ids, and whether decoding them gives the text again (U+2581 counts as a space)."""
     docs = common.read(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text")
-    found = decode(encode(docs))
+    found = round_trip(docs)
     return found.select("doc_id", "ids", F.size("ids").cast("long").alias("n_pieces"), common.sha_hex(F.col("decoded")).alias("decoded_sha256"), (F.col("decoded") == F.translate("text", SPACE, " ")).alias("same"))
 
 
 def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their ids, and whether these decode to the text again."""
-    found = decode(encode(docs.withColumn("text", F.coalesce("text", F.lit(""))), into="piece_ids"), "piece_ids", "_q_decoded")
+    found = round_trip(docs.withColumn("text", F.coalesce("text", F.lit(""))), into="piece_ids", back="_q_decoded")
     return found.withColumns({"n_pieces": F.size("piece_ids").cast("long"), "decodes": F.col("_q_decoded") == F.translate("text", SPACE, " ")}).drop("_q_decoded")

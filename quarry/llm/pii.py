@@ -121,7 +121,7 @@ def entity_lines(docs: DataFrame) -> DataFrame:
                 names=["key", "entity", "line", "terms"],
             )
 
-    return docs.select("_q_key", "text").mapInArrow(find, "key long, entity long, line long, terms array<long>")
+    return docs.select("_q_key", "text").mapInArrow(common.lean(find), "key long, entity long, line long, terms array<long>")
 
 
 def line_counts(docs: DataFrame, terms: np.ndarray | None) -> DataFrame:
@@ -151,7 +151,7 @@ def line_counts(docs: DataFrame, terms: np.ndarray | None) -> DataFrame:
                     pa.array([None, *found.tolist()], pa.int64()), pa.array([max(0, len(lines) - 1), *n.tolist()], pa.int64())
                 ], names=["term", "lines"])
 
-    return docs.select("text").mapInArrow(count, "term long, lines long").groupBy("term").agg(F.sum("lines").alias("lines"))
+    return docs.select("text").mapInArrow(common.lean(count), "term long, lines long").groupBy("term").agg(F.sum("lines").alias("lines"))
 
 
 def disclosing(docs: DataFrame, found: DataFrame, disclosure: float = DISCLOSURE, min_support: int = MIN_SUPPORT) -> DataFrame | None:
@@ -211,7 +211,7 @@ def sanitise(docs: DataFrame, disclosure: float = DISCLOSURE, min_support: int =
                 column = pa.array([texts[i] if i in texts else x for i, x in enumerate(column.to_pylist())], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bases, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.string())), column.cast(pa.string())], names=["doc_id", "base", "spans", "sanitised"])
 
-    return frame.select("doc_id", "text", "_q_terms").mapInArrow(rewrite, "doc_id long, base array<string>, spans array<string>, sanitised string")
+    return frame.select("doc_id", "text", "_q_terms").mapInArrow(common.lean(rewrite), "doc_id long, base array<string>, spans array<string>, sanitised string")
 
 
 def _replaced(text: str, spans: list[tuple[int, int, int]]) -> str:

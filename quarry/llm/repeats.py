@@ -94,7 +94,7 @@ def _anchor_rows(docs: DataFrame) -> DataFrame:
                 rank, covered, n = np.where(known, spread, rank), np.where(known, np.uint64(0), covered), np.where(known, -n, n)
                 yield pa.RecordBatch.from_arrays([common.longs(rank), common.longs(covered), pa.array(key), pa.array(lo), pa.array(n)], names=["rank", "covered", "key", "lo", "n"])
 
-    return docs.select("_q_key", "text").mapInArrow(find, _ANCHORS)
+    return docs.select("_q_key", "text").mapInArrow(common.lean(find), _ANCHORS)
 
 
 def _walk_pairs(batches):
@@ -243,20 +243,20 @@ def remove_repeats(docs: DataFrame, most: int = MOST) -> DataFrame:
     spark = docs.sparkSession
     common.bounded_arrow(spark)
     pairs = _anchor_rows(docs).repartition(common.partitions(spark), "rank").sortWithinPartitions("rank", "covered", "key", "lo")
-    found = common.pinned(pairs.mapInArrow(_walk_pairs, "kind long, rank long, key long, lo long, n long"))
+    found = common.pinned(pairs.mapInArrow(common.lean(_walk_pairs), "kind long, rank long, key long, lo long, n long"))
     contested = found.where(F.col("kind") == _CONTESTED)
     hot = common.small(common.pinned(contested.groupBy("rank").count().where(F.col("count") > most).select("rank", F.lit(True).alias("hot"))))
     contested = contested.join(hot, "rank", "left").groupBy("key").agg(F.collect_list(F.struct("rank", "lo", "n", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("rows"))
     # one exchange of the texts, by key, serves both joins
     texts = docs.select("_q_key", "doc_id", "text").repartition(common.partitions(spark), "_q_key")
     around = texts.join(contested, texts["_q_key"] == contested["key"]).select("_q_key", "doc_id", "text", "rows")
-    around = around.mapInArrow(_surroundings, "rank long, key long, lo long, n long, piece binary")
+    around = around.mapInArrow(common.lean(_surroundings), "rank long, key long, lo long, n long, piece binary")
     around = around.repartition(common.partitions(spark), "rank").sortWithinPartitions("rank", "key", "lo")
-    windows = around.mapInArrow(_walk_windows, "key long, lo long, n long")
+    windows = around.mapInArrow(common.lean(_walk_windows), "key long, lo long, n long")
     removed = found.where(F.col("kind") == _REPEATED).select("key", "lo", "n").unionByName(windows)
     removed = removed.groupBy("key").agg(F.collect_list(F.struct("lo", "n")).alias("removed"))
     joined = texts.join(removed, texts["_q_key"] == removed["key"], "left").select("_q_key", "doc_id", "text", "removed")
-    return joined.mapInArrow(_assemble, "key long, doc_id long, n_bytes long, starts array<long>, ends array<long>, kept binary")
+    return joined.mapInArrow(common.lean(_assemble), "key long, doc_id long, n_bytes long, starts array<long>, ends array<long>, kept binary")
 
 
 def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
