@@ -53,10 +53,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def pinned(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the shared checkpoint folder. What it was made from is no longer needed, so the
     driver collects its garbage, on which Spark deletes the shuffle files of earlier steps."""
-    checkpoint_dir(df.sparkSession)
+    spark = df.sparkSession
+    checkpoint_dir(spark)
     kept = df.checkpoint(eager=True)
+    del df  # else what it was made from is still in use
     gc.collect()
-    df.sparkSession._jvm.System.gc()
+    spark._jvm.System.gc()
     return kept
 
 
