@@ -3,12 +3,13 @@
 Base detectors find the protected entities (email, ip, card, phone). Corpus co-occurrence then
 estimates how much of an entity e a term t reveals: over lines as contexts, with N of them,
 IC(e) = log2(N / c(e)) is what there is to know, and PMI(t, e) = log2(N * c(t, e) / (c(t) * c(e)))
-is what t tells of it. A term with PMI >= disclosure * IC, seen with e in ``min_support`` distinct
-lines, is disclosing: in documents that hold e it is generalised to its class (capitalised: [NAME])
-or else removed; the entities become [EMAIL] and the like.
+is what t tells of it. A term with PMI >= disclosure * IC is disclosing, however few lines hold the
+two: in documents that hold e it is generalised to its class (capitalised: [NAME]) or else removed;
+the entities become [EMAIL] and the like. A term of an entity's only line is thus disclosing if it
+stands in (N / c(e)) ** (1 - disclosure) lines at most.
 
-Odd input: a null or empty text has no spans. Equal lines count as one line of support, so copies
-alone disclose nothing. A corpus without entities skips the corpus counts.
+Odd input: a null or empty text has no spans. Each copy of a line is a context of its own, for the
+entity, the term and both. A corpus without entities has no pairs, so nothing is disclosing.
 """
 
 from __future__ import annotations
@@ -27,7 +28,6 @@ from quarry.llm import common
 
 KINDS = ("email", "ip", "card", "phone")
 DISCLOSURE = 0.5
-MIN_SUPPORT = 3
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -97,36 +97,48 @@ def _term_print(term: str) -> int:
     return int(prints.view(np.int64)[0])
 
 
-def entity_lines(docs: DataFrame) -> DataFrame:
-    """(key, entity, line, terms): each line that holds an entity, with the terms beside it."""
+_LINE = pa.struct([("entities", pa.list_(pa.int64())), ("terms", pa.list_(pa.int64()))])
+
+
+def entity_docs(docs: DataFrame) -> DataFrame:
+    """(key, doc_id, text, entities, terms, lines) of the documents that hold an entity: terms are all of the
+    document's words, lines those with an entity, each with its entities and the terms beside them."""
 
     def find(batches):
         for batch in batches:
-            data, at = common.text_bytes(batch.column(1))
-            rows = []
+            data, at = common.text_bytes(batch.column(2))
+            held, entities, words, found = [], [], [], []
             for i in np.flatnonzero(_flagged(data, at)).tolist():
-                key, text = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+                text = batch.column(2)[i].as_py()
                 spans, lines = base_spans(text), defaultdict(list)
+                if not spans:
+                    continue
                 for span in spans:
                     lines[text.rfind("\n", 0, span[0]) + 1].append(span)
+                rows = []
                 for start, here in lines.items():
                     end = text.find("\n", start)
                     end = max(len(text) if end < 0 else end, max(s[2] for s in here))
                     terms = {_term_print(m[0]) for m in _TERM.finditer(text, start, end) if not any(a <= m.start() < b for a, _, b in here)}
-                    line = _print(text[start:end])
-                    rows += [(key, e, line, list(terms)) for e in {entity_of(text, *s) for s in here}]
-            keys, entities, lines_, terms_ = zip(*rows) if rows else ((), (), (), ())
+                    rows.append({"entities": list({entity_of(text, *s) for s in here}), "terms": list(terms)})
+                prints, _ = common.words(data[at[i] : at[i + 1]], np.array([0, at[i + 1] - at[i]]), common.LETTERS)
+                held.append(i)
+                entities.append(list({e for row in rows for e in row["entities"]}))
+                words.append(np.unique(prints.view(np.int64)))
+                found.append(rows)
+            own = batch.take(pa.array(held, pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.int64()), pa.array(entities, pa.int64()), pa.array(lines_, pa.int64()), pa.array(terms_, pa.list_(pa.int64()))],
-                names=["key", "entity", "line", "terms"],
+                [*own.columns[:2], own.column(2).cast(pa.string()), *[pa.array(x, pa.list_(pa.int64())) for x in (entities, words)], pa.array(found, pa.list_(_LINE))],
+                names=["key", "doc_id", "text", "entities", "terms", "lines"],
             )
 
-    return docs.select("_q_key", "text").mapInArrow(common.lean(find), "key long, entity long, line long, terms array<long>")
+    schema = "key long, doc_id long, text string, entities array<long>, terms array<long>, lines array<struct<entities: array<long>, terms: array<long>>>"
+    return docs.select("_q_key", "doc_id", "text").mapInArrow(common.lean(find), schema)
 
 
-def line_counts(docs: DataFrame, terms: np.ndarray | None) -> DataFrame:
+def line_counts(docs: DataFrame) -> DataFrame:
     """(term, lines): in how many lines of the whole corpus a term stands; the row of the null term
-    counts all lines. Counted per batch, then summed. terms: only these, sorted."""
+    counts all lines. Counted per batch, then summed."""
 
     def count(batches):
         for batch in batches:
@@ -138,10 +150,6 @@ def line_counts(docs: DataFrame, terms: np.ndarray | None) -> DataFrame:
                 prints, owned = common.words(part, lines, common.LETTERS)
                 prints = prints.view(np.int64)
                 of = common.spread(owned)
-                if terms is not None:
-                    place = np.minimum(np.searchsorted(terms, prints), len(terms) - 1)
-                    held = terms[place] == prints
-                    prints, of = prints[held], of[held]
                 order = np.lexsort((of, prints))
                 prints, of = prints[order], of[order]
                 new = np.ones(len(prints), bool)
@@ -154,64 +162,61 @@ def line_counts(docs: DataFrame, terms: np.ndarray | None) -> DataFrame:
     return docs.select("text").mapInArrow(common.lean(count), "term long, lines long").groupBy("term").agg(F.sum("lines").alias("lines"))
 
 
-def disclosing(docs: DataFrame, found: DataFrame, disclosure: float = DISCLOSURE, min_support: int = MIN_SUPPORT) -> DataFrame | None:
-    """(entity, term) pairs whose term reveals at least that share of the entity; None if none has support."""
-    pairs = found.select("entity", "line", F.explode("terms").alias("term"))
-    support = pairs.groupBy("entity", "term", "line").agg(F.count("*").alias("n")).groupBy("entity", "term").agg(F.count("*").alias("support"), F.sum("n").alias("both"))
-    support = common.pinned(support.where(F.col("support") >= min_support))
-    wanted = support.select("term").distinct()
-    n = wanted.limit(common.MOST_BROADCAST + 1).count()
-    if not n:
-        return None
-    terms = np.sort(np.array([r[0] for r in wanted.toLocalIterator()], np.int64)) if n <= common.MOST_BROADCAST else None
-    counts = common.pinned(line_counts(docs, terms))
-    all_lines = float(counts.where("term is null").first()["lines"])
-    entities = found.groupBy("entity").agg(F.count("*").alias("own"))
-    joined = support.join(counts.where("term is not null"), "term").join(entities, "entity")
+def disclosing(docs: DataFrame, found: DataFrame, disclosure: float = DISCLOSURE) -> DataFrame:
+    """(entity, term) pairs whose term reveals at least that share of the entity."""
+    rows = found.select(F.inline("lines")).select(F.explode("entities").alias("entity"), "terms")
+    entities = rows.groupBy("entity").agg(F.count("*").alias("own"))
+    pairs = rows.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("both"))
+    counts = common.pinned(line_counts(docs))
+    all_lines = float(counts.where("term is null").first()["lines"] or 0)
+    joined = pairs.join(counts.where("term is not null").hint("merge"), "term").join(entities.hint("merge"), "entity")
     pmi = F.log2(F.lit(all_lines) * F.col("both") / (F.col("lines") * F.col("own")))
-    return joined.where(pmi >= disclosure * F.log2(F.lit(all_lines) / F.col("own"))).select("entity", "term")
+    return common.pinned(joined.where(pmi >= disclosure * F.log2(F.lit(all_lines) / F.col("own"))).select("entity", "term"))
 
 
-def sanitise(docs: DataFrame, disclosure: float = DISCLOSURE, min_support: int = MIN_SUPPORT) -> DataFrame:
-    """(doc_id, base, spans, sanitised): spans as arrays of kind:start:end; ``term`` follows the base kinds."""
+def sanitise(docs: DataFrame, disclosure: float = DISCLOSURE) -> DataFrame:
+    """(doc_id, base, spans, sanitised): spans as arrays of kind:start:end; ``term`` follows the base kinds.
+
+    A document is given those of its own words alone that disclose one of its entities, so that an entity
+    of many documents isn't multiplied by all of its terms."""
     common.bounded_arrow(docs.sparkSession)
     keyed = common.keyed(docs)
-    found = common.pinned(entity_lines(keyed))
-    hidden = disclosing(keyed, found, disclosure, min_support)
-    frame = keyed.withColumn("_q_terms", F.lit(None).cast("array<long>"))
-    if hidden is not None:
-        own = found.select("key", "entity").distinct().join(hidden, "entity").groupBy("key").agg(F.collect_set("term").alias("_q_terms"))
-        own = common.pinned(own)
-        small = own.select(F.sum(F.size("_q_terms") + 4)).first()[0] or 0
-        own = F.broadcast(own) if small <= common.MOST_BROADCAST else own
-        frame = keyed.join(own, keyed["_q_key"] == own["key"], "left")
+    found = common.pinned(entity_docs(keyed))
+    if not found.limit(1).count():
+        return keyed.select("doc_id", *[F.array().cast("array<string>").alias(c) for c in ("base", "spans")], F.col("text").alias("sanitised"))
+    hidden = disclosing(keyed, found, disclosure)
+    own = found.select("key", F.explode("entities").alias("entity"), "terms").select("key", "entity", F.explode("terms").alias("term"))
+    own = own.join(hidden.hint("merge"), ["entity", "term"], "left_semi").groupBy("key").agg(F.collect_set("term").alias("hidden"))
+    held = found.select("key", "doc_id", "text").join(own.hint("merge"), "key", "left").select("doc_id", "text", "hidden")
 
     def rewrite(batches):
         for batch in batches:
-            data, at = common.text_bytes(batch.column(1))
-            bases, spans, texts = [[]] * batch.num_rows, [[]] * batch.num_rows, {}
-            for i in np.flatnonzero(_flagged(data, at)).tolist():
-                text = batch.column(1)[i].as_py()
-                base = base_spans(text)
-                if not base:
-                    continue
-                terms = set(batch.column(2)[i].as_py() or ())
-                more = []
+            bases, spans, texts = [], [], []
+            for text, terms in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                base, terms, more = base_spans(text), set(terms or ()), []
                 if terms:
                     for m in _TERM.finditer(text):
                         if _term_print(m[0]) in terms and not any(a < m.end() and m.start() < b for a, _, b in base):
                             more.append((m.start(), len(KINDS), m.end()))
                 names = (*KINDS, "term")
                 every = sorted(base + more)
-                bases[i] = [f"{names[k]}:{a}:{b}" for a, k, b in base]
-                spans[i] = [f"{names[k]}:{a}:{b}" for a, k, b in every]
-                texts[i] = _replaced(text, every)
-            column = batch.column(1)
-            if texts:
-                column = pa.array([texts[i] if i in texts else x for i, x in enumerate(column.to_pylist())], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bases, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.string())), column.cast(pa.string())], names=["doc_id", "base", "spans", "sanitised"])
-
-    return frame.select("doc_id", "text", "_q_terms").mapInArrow(common.lean(rewrite), "doc_id long, base array<string>, spans array<string>, sanitised string")
+                bases.append([f"{names[k]}:{a}:{b}" for a, k, b in base])
+                spans.append([f"{names[k]}:{a}:{b}" for a, k, b in every])
+                texts.append(_replaced(text, every))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x, pa.list_(pa.string())) for x in (bases, spans)], pa.array(texts, pa.string())], names=["doc_id", "base", "spans", "sanitised"])
+
+    def others(batches):
+        for batch in batches:
+            data, at = common.text_bytes(batch.column(1))
+            free = np.ones(batch.num_rows, bool)
+            for i in np.flatnonzero(_flagged(data, at)).tolist():
+                free[i] = not base_spans(batch.column(1)[i].as_py())
+            own = batch.filter(pa.array(free))
+            none = pa.array([[]] * own.num_rows, pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([own.column(0), none, none, own.column(1).cast(pa.string())], names=["doc_id", "base", "spans", "sanitised"])
+
+    schema = "doc_id long, base array<string>, spans array<string>, sanitised string"
+    return held.mapInArrow(common.lean(rewrite), schema).unionByName(keyed.select("doc_id", "text").mapInArrow(common.lean(others), schema))
 
 
 def _replaced(text: str, spans: list[tuple[int, int, int]]) -> str:

@@ -252,6 +252,16 @@ def test_disclosing_terms(spark):
     assert [s.split(":")[0] for s in found[0].spans] == ["term", "email"] and found[0].base == [s for s in found[0].spans if s.startswith("email")]
 
 
+def test_terms_of_rare_entities_disclose(spark):
+    """One line with both is enough: the name beside an address that stands once goes, a common word stays."""
+    rows = [(1, "the plan was drawn by Quillon at q@x.org\nthen Quillon left the plan"), (2, "write to r@y.org about the plan")]
+    rows += [(10 + i, f"the plan was drawn by nobody at {'abcdefghij'[i % 10] * (3 + i)}") for i in range(80)]
+    found = {r.doc_id: r for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found[1].sanitised == "the plan was drawn by [NAME] at [EMAIL]\nthen [NAME] left the plan"
+    assert found[2].sanitised == " to [EMAIL]  the plan" and len(found) == len(rows)
+    assert [s.split(":")[0] for s in found[1].spans] == ["term", "email", "term"] and found[10].spans == []
+
+
 def test_pii_odd(odd, none):
     assert ids(pii.sanitise(odd)) == ids(odd) and pii.sanitise(none).count() == 0
 
