@@ -6,6 +6,9 @@ a token stays in its place if as many of the leaf's documents have it there; the
 fields and become ``<*>``. If at least ``CONSTANT`` of a line's tokens stay, that is its template;
 otherwise its template is the line itself with its digit fields masked. Lines of a template
 that ``min_docs`` documents hold are dropped, but for those of the first document (by id) that has it.
+The queries also drop, by the same rule, lines that two documents hold as they are, whatever their
+leaf: a generalised template needs more documents than an equal line to be told from chance. For this
+the pipeline's stage counts equal documents as one, so that they stay equal, and near-dedup takes them out.
 
 Tokens are what single spaces part, in lines stripped of leading and trailing spaces, tabs and the like. Odd input: a
 null or empty text has no lines and stays empty; blank lines stay; equal ids are documents of
@@ -61,17 +64,29 @@ def templates(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS) ->
     return joined.select("_q_key", "line_no", F.when(F.col("n_constant") >= CONSTANT * F.col("n"), generalised).otherwise(own).alias("template"))
 
 
-def dropped_lines(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS) -> DataFrame:
+def exact_lines(docs: DataFrame, own: Column) -> DataFrame:
+    """(_q_key, line_no) of the lines that an earlier document has as they are; own: a long, the same for documents that count as one."""
+    rows = docs.select("_q_key", own.alias("own"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "raw"))
+    rows = rows.select("_q_key", "own", "line_no", F.btrim("raw", F.lit(" \t\r\f\v")).alias("line")).where("line <> ''")
+    rows = rows.select("_q_key", "own", "line_no", F.xxhash64("line").alias("line"))
+    shared = rows.groupBy("line").agg(F.min_by("own", "_q_key").alias("first"), F.min("own").alias("least"), F.max("own").alias("most")).where("least <> most").select("line", "first")
+    return common.pinned(rows.join(shared.hint("merge"), "line").where("own <> first").select("_q_key", "line_no"))
+
+
+def dropped_lines(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, exact: Column | None = None) -> DataFrame:
     """(_q_key, gone): the numbers of the lines to drop, for each document that has any."""
+    same = None if exact is None else exact_lines(docs, exact)
     found = common.pinned(templates(docs, depth, min_docs))
     recurring = common.small(_recurring(found, ["template"], min_docs))
-    rows = found.join(recurring, "template").where("_q_key <> first")
-    return common.pinned(rows.groupBy("_q_key").agg(F.collect_list("line_no").alias("gone")))
+    rows = found.join(recurring, "template").where("_q_key <> first").select("_q_key", "line_no")
+    rows = rows if same is None else rows.unionByName(same)
+    return common.pinned(rows.groupBy("_q_key").agg(F.collect_set("line_no").alias("gone")))
 
 
-def line_dedup(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS) -> DataFrame:
-    """docs (with _q_key and text) with recurring lines taken out of ``text``, plus _q_lines and _q_gone (counts)."""
-    gone = dropped_lines(docs, depth, min_docs).toDF("_q_own", "_q_numbers")
+def line_dedup(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, exact: Column | None = None) -> DataFrame:
+    """docs (with _q_key and text) with recurring lines taken out of ``text``, plus _q_lines and _q_gone (counts);
+    exact: also those that two documents have as they are, which differ in this."""
+    gone = dropped_lines(docs, depth, min_docs, exact).toDF("_q_own", "_q_numbers")
     joined = docs.join(gone.hint("merge"), F.col("_q_key") == F.col("_q_own"), "left")
     lines = F.split("text", "\n", -1)
     left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_q_numbers")), lambda i: lines[i])
@@ -83,13 +98,13 @@ def line_dedup(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS) ->
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.keyed(common.read(spark, sf_dir, "documents"))
-    return line_dedup(docs).select("doc_id", F.col("_q_lines").alias("n_lines"), F.col("_q_gone").alias("n_dropped"), common.sha_hex(F.col("text")).alias("kept_sha256"), F.length("text").cast("long").alias("n_chars"))
+    return line_dedup(docs, exact=F.col("_q_key")).select("doc_id", F.col("_q_lines").alias("n_lines"), F.col("_q_gone").alias("n_dropped"), common.sha_hex(F.col("text")).alias("kept_sha256"), F.length("text").cast("long").alias("n_chars"))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without recurring lines; those left without any text go."""
     rows = common.keyed(docs.withColumn("text", F.coalesce("text", F.lit(""))), docs.columns)
-    found = line_dedup(rows).where((F.col("_q_gone") == 0) | F.col("text").rlike(r"\S"))
+    found = line_dedup(rows, exact=F.xxhash64("text")).where((F.col("_q_gone") == 0) | F.col("text").rlike(r"\S"))
     if "n_chars" in docs.columns:
         found = found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return found.select(*docs.columns)

@@ -98,6 +98,25 @@ def test_lines(spark, some):
     assert kept[10_000] == made[0][1] and "Order" not in kept[10_003] and "contact" not in kept[10_003] and "ddd stands" in kept[10_003]
 
 
+def test_exact_lines(spark, some, tmp_path):
+    """The queries drop a line from its second document on, besides recurring templates; the stage counts equal documents as one."""
+    made = [(10_001, "own a\nshared by two  \nown b"), (10_000, "first\n\tshared by two\nshared by two"), (10_002, "Shared by two\nshared by"), (10_003, "shared by two")]
+    docs = some.select("doc_id", "text").unionByName(spark.createDataFrame(made, "doc_id long, text string"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    stripped = lambda t: [x.strip(" \t\r\f\v") for x in t.split("\n")]
+    first, by_template = {}, brute_lines(texts(docs))
+    rows = sorted((k, t or "") for k, t in texts(docs))
+    for k, t in rows:
+        for x in stripped(t):
+            first.setdefault(x, t)
+    kept = lambda t: Counter(x for x in stripped(t) if x)
+    found = {r.doc_id: r.text for r in lines.line_stage(spark, docs, "").collect()}
+    want = {k: kept("\n".join(x for x in by_template[k].split("\n") if first.get(x.strip(" \t\r\f\v")) in (t, None))) for k, t in rows}
+    assert {k: kept(t) for k, t in found.items() if kept(t)} == {k: c for k, c in want.items() if c}
+    assert found[10_000] == made[1][1] and found[10_001] == "own a\nown b" and found[10_002] == made[2][1] and 10_003 not in found
+    assert {r.doc_id: r.n_dropped for r in lines.op2_line_dedup(spark, str(tmp_path)).where("doc_id >= 10000").collect()} == {10_000: 0, 10_001: 1, 10_002: 0, 10_003: 1}
+
+
 def test_lines_odd(spark, odd, none):
     for df in (odd, none):
         assert ids(lines.line_dedup(common.keyed(df))) == ids(df)
