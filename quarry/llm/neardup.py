@@ -50,7 +50,7 @@ def shingle_sets(data: np.ndarray, at: np.ndarray, width: int = WORDS) -> tuple[
     prints, bounds = common.words(data, at)
     n = np.diff(bounds)
     chain = common.mix(prints)
-    for i in range(1, width):
+    for i in range(1, min(width, len(prints))):
         chain[: len(prints) - i] = common.mix(chain[: len(prints) - i] * np.uint64(0x9E3779B97F4A7C15) + prints[i:])
     parts, sizes = [], np.zeros(len(n), np.int64)
     for i, (a, words) in enumerate(zip(bounds.tolist(), n.tolist())):

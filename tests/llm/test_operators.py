@@ -466,6 +466,16 @@ def test_near_duplicates(spark, monkeypatch, width, small):
     assert [(r.n_shingles, r.component_id) for r in found] == brute_components(docs, width)
 
 
+@pytest.mark.parametrize("width", [4, 5])
+def test_few_words_alone(spark, width):
+    """A slice or a partition that holds fewer words than a shingle."""
+    for text in (b"", b"one", b"one two", b"one two three", b"one two three four"):
+        hashes, bounds = neardup.shingle_sets(np.frombuffer(text, np.uint8), np.array([0, len(text)]), width)
+        assert len(hashes) == bounds[-1] == min(1, len(text))
+    docs = spark.createDataFrame([(1, "one two"), (2, "One  two")], "doc_id long, text string").repartition(2, "doc_id")
+    assert [(r.n_shingles, r.component_id) for r in neardup.near_duplicates(common.keyed(docs), width=width).collect()] == [(1, 1)] * 2
+
+
 def test_near_duplicates_odd(spark, odd, none):
     found = neardup.near_duplicates(common.keyed(odd))
     assert ids(found) == ids(odd) and neardup.near_duplicates(common.keyed(none)).count() == 0
