@@ -14,8 +14,8 @@ Then, in buckets that still hold several components, the members outside the lar
 against all others: by pairs where a bucket is small, else against that whole component (once for
 all bands) and against each other, by blocks of ``BLOCK`` members whose registers are compared in
 place, so only pairs that may be links leave a task. The first such round
-verifies each member's best estimates only, the second whatever candidates are still apart, so
-every candidate pair in different components is verified and none is lost to a cap.
+verifies each member's best estimates only, the second, which always runs, whatever candidates are
+still apart, so every candidate pair in different components is verified and none is lost to a cap.
 
 Two documents of similarity 0.8 share a band with probability 1 - (1 - 0.8^4)^32 > 0.9999999.
 
@@ -275,7 +275,7 @@ def near_duplicates(docs: DataFrame, percent: int = THRESHOLD_PERCENT, width: in
         pairs = common.pinned(_apart(shared, sets, links, best, percent).join(tried, ["a", "b"], "left_anti"))
         tried = tried.unionByName(pairs)
         if not pairs.limit(1).count():
-            break
+            continue  # those tried may have taken all places of the best: the next round has no such bound
         links = common.pinned(links.unionByName(verified(docs, pairs, percent, width)))
     found = components(links)
     named = found.join(classes.select(F.col("rep").alias("component"), F.col("doc_id").alias("component_id")), "component")

@@ -466,6 +466,30 @@ def test_near_duplicates(spark, monkeypatch, width, small):
     assert [(r.n_shingles, r.component_id) for r in found] == brute_components(docs, width)
 
 
+def test_links_beyond_tried_hubs(spark, monkeypatch):
+    """Where pairs that were tried take the places of a member's best estimates, the next round finds its link."""
+    monkeypatch.setattr(neardup, "SMALL_BUCKET", 2)
+    best_of = neardup._apart
+
+    def hidden(shared, sets, links, best, percent):
+        found = best_of(shared, sets, links, best, percent)
+        return found.limit(0) if best else found
+
+    monkeypatch.setattr(neardup, "_apart", hidden)
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefgh", k=5))
+    base = [word() for _ in range(200)]
+    docs = []
+    for i, changes in enumerate([7] * 40 + [0, 2]):  # forty that are first in all buckets and like none, then two that are alike
+        own = list(base)
+        for p in range(i % 20, 200, 200 // changes)[:changes] if changes else ():
+            own[p] = word()
+        docs.append((i, " ".join(own)))
+    found = neardup.near_duplicates(common.keyed(spark.createDataFrame(docs, "doc_id long, text string"))).orderBy("key").collect()
+    assert [(r.n_shingles, r.component_id) for r in found] == brute_components(docs, neardup.WORDS)
+    assert found[41].component_id == 40
+
+
 @pytest.mark.parametrize("width", [4, 5])
 def test_few_words_alone(spark, width):
     """A slice or a partition that holds fewer words than a shingle."""
