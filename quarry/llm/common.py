@@ -4,10 +4,10 @@ Defined results for odd input, for every operator of this subpackage unless its
 docstring says otherwise:
 
 * null text counts as the empty text, and a null ``doc_id`` is a document like any other
-  (it sorts before every number);
+  (it sorts after every number);
 * rows that repeat a ``doc_id`` are separate documents, ordered by their text's hash;
 * columns besides the needed ones are carried or ignored, whatever their names: internal
-  columns start with ``_q_`` and input columns of that name are never read;
+  columns start with ``_q_``, and input columns of such names are renamed while an operator works;
 * an empty table gives an empty result with the same schema.
 """
 
@@ -15,8 +15,11 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import functools
 import gc
 import json
+import re
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,20 +49,26 @@ def checkpoint_dir(spark: SparkSession) -> str:
             spark.sparkContext.setCheckpointDir(found)
         return found
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir("/tmp/checkpoints")
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the whole cluster shares")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def pinned(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared checkpoint folder. What it was made from is no longer needed, so the
-    driver collects its garbage, on which Spark deletes the shuffle files of earlier steps."""
+    """df, computed once and kept in the shared checkpoint folder. The shuffle files that it was made from go at
+    once, since nothing needs them any more."""
     spark = df.sparkSession
     checkpoint_dir(spark)
-    kept = df.checkpoint(eager=True)
-    del df  # else what it was made from is still in use
-    gc.collect()
-    spark._jvm.System.gc()
-    return kept
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)
+    finally:
+        spark.conf.set(_CLEANUP, before)
 
 
 def keyed(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -74,10 +83,25 @@ def keyed(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     repeated = df.groupBy("doc_id").count().where("`count` > 1 or doc_id is null").limit(1).count()
     if not repeated:
         return df.select(F.col("doc_id").cast("long").alias("_q_key"), *columns)
-    ordered = df.orderBy(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    ordered = df.orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64("text"))
     return pinned(ordered.select(F.monotonically_increasing_id().alias("_q_key"), *columns))
 
 
+def shielded(stage):
+    """A stage of the pipeline, with input columns whose names are like internal ones renamed while it works."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        mark = "r_"
+        while any(c.lower().startswith(mark) for c in docs.columns):
+            mark = f"r{mark}"
+        names = {f"{mark}{i}" if c.lower().startswith("_q_") else c: c for i, c in enumerate(docs.columns)}
+        found = stage(spark, docs.toDF(*names), sf_dir)
+        return found.toDF(*[names.get(c, c) for c in found.columns])
+
+    return run
+
+
 #: Rows of a narrow table (some longs each) that may be broadcast.
 MOST_BROADCAST = 200_000
 
