@@ -1,16 +1,22 @@
 """Operator 7, exact top-k search by MaxScore.
 
 A vector's terms are its components; the posting list of a component holds every vector's value there.
-Candidates are dealt into shards and queries into blocks, so a task holds one shard and one block.
-For each query the shard's greatest and least values bound what a term can add. Terms in order of that
-range are split: essential ones are traversed for all candidates; the rest, whose bound together
-(the sum of ranges, or the product of the norms of the parts, if that is less) can't lift a candidate
-past the k-th best score so far, is probed only for candidates that still compete, term group by term
-group. The shards' best rows are then merged by score.
+Candidates are dealt into shards, each in one task, and queries are copied to every shard and streamed past it
+in blocks. A shard's candidates are traversed in chunks. In a chunk, a term's least and greatest value bound
+what it can add to a query's score. In the order of that range, the longest run of terms, from the smallest
+range on, that can't lift a candidate over the query's threshold (its k-th best score so far) even with all of
+their greatest values, while the others are at their least, is non-essential. The other terms are essential: they alone are
+traversed for all candidates of the chunk, and the non-essential ones are probed, greatest range first, for those
+that still compete. The threshold rises from chunk to chunk, and with it the non-essential set grows; at last it
+may hold all terms, and the chunk is passed over. The shards' best rows are then merged by score.
+
+A vector is copied once for each ``SPAN`` queries, which is once in most tables; a task's memory holds a
+shard and a block of queries. Scores are whole numbers: doubles hold them exactly below 2**53, beyond that the
+same steps take Python's integers.
 
 Odd input: vectors that are null or hold a null or non-finite component, and rows with a null id, take no
 part. Shorter vectors count as having zeros. Rows that repeat an id are rows of their own. Equal
-scores rank the smaller id first. Fewer candidates than k: all of them.
+scores rank the smaller id first. Fewer candidates than k: all of them. Scores beyond 64 bits are an error.
 """
 
 from __future__ import annotations
@@ -22,111 +28,127 @@ from pyspark.sql import functions as F
 
 from quarry.llm import common
 
-SHARD_ROWS = 16_384
-BLOCK_ROWS = 1_024
-_AT_ONCE = 64
+#: Candidates of a shard: no more than the first, and no fewer than the second only to keep more tasks busy.
+SHARD_ROWS, LEAST_ROWS = 32_768, 2_048
+CHUNK = 2_048
+BLOCK_ROWS = 256
+SPAN = 1 << 20
 _PROBE = 8
 
 
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
-    lists = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+def _matrix(lists: pa.ListArray, least: int = 0) -> np.ndarray:
     at = lists.offsets.to_numpy().astype(np.int64)
     flat = lists.values.to_numpy(zero_copy_only=False)
     sizes = np.diff(at)
-    out = np.zeros((len(sizes), int(sizes.max(initial=0))), np.int64)
-    rows = common.spread(at - at[0])
-    out[rows, np.arange(at[0], at[-1]) - at[:-1][rows]] = flat[at[0] : at[-1]]
+    out = np.zeros((len(sizes), max(least, int(sizes.max(initial=0)))), np.int64)
+    out[common.spread(at - at[0]), np.arange(at[0], at[-1]) - at[:-1][common.spread(at - at[0])]] = flat[at[0] : at[-1]]
     return out
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    if scores.dtype == object:
+        return np.array(sorted(range(len(scores)), key=lambda i: (-scores[i], ids[i]))[:k], np.int64)
     return np.lexsort((ids, -scores))[:k]
 
 
-def max_score(x: np.ndarray, ids: np.ndarray, own: np.ndarray, q: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(rows of x, scores) of each query's k best, without the row at own[i] (-1: none)."""
-    d = max(x.shape[1], q.shape[1])
-    x = np.pad(x, ((0, 0), (0, d - x.shape[1])))
-    q = np.pad(q, ((0, 0), (0, d - q.shape[1])))
-    largest = int(np.abs(x).max(initial=0)) * int(np.abs(q).max(initial=0)) * max(1, d)
-    if largest >= 1 << 53:  # beyond what doubles hold exactly: no bounds, Python's integers
-        scores = x.astype(object) @ q.T.astype(object)
-        found = []
-        for i in range(len(q)):
-            rows = np.array([j for j in range(len(x)) if j != own[i]], np.int64)
-            s = np.array([int(v) for v in scores[rows, i]], object)
-            order = sorted(range(len(rows)), key=lambda j: (-s[j], ids[rows[j]]))[:k]
-            found.append((rows[order], s[order]))
-        return found
-    x = np.asfortranarray(x, np.float64)
-    q = q.astype(np.float64)
-    low, high = x.min(axis=0), x.max(axis=0)
-    squares = x * x
-    found = []
-    for first in range(0, len(q), _AT_ONCE):
-        part = q[first : first + _AT_ONCE]
-        ranges = np.maximum(part * high, part * low) - np.minimum(part * high, part * low)
-        order = np.argsort(-ranges, axis=1, kind="stable")
-        share = np.cumsum(np.take_along_axis(ranges, order, 1), axis=1)
-        # the terms with half of all ranges are essential; the bound below tells whom to probe further
-        essential = np.zeros(part.shape, bool)
-        np.put_along_axis(essential, order, share - np.take_along_axis(ranges, order, 1) < 0.7 * share[:, -1:], 1)
-        sums = x @ np.where(essential, part, 0).T
-        rest_norms = np.sqrt(squares @ (~essential).T.astype(np.float64))
-        tops = np.where(essential, 0, np.maximum(part * high, part * low)).sum(axis=1)
-        norms = np.sqrt((np.where(essential, 0, part) ** 2).sum(axis=1))
-        for i in range(len(part)):
-            partial = sums[:, i]
-            if own[first + i] >= 0:
-                partial[own[first + i]] = -np.inf
-            others = np.flatnonzero(~essential[i])
-            others = others[np.argsort(-ranges[i, others], kind="stable")]
-            n = len(x)
-            seeds = np.argpartition(-partial, k)[:k] if n > k + 1 else np.arange(n)
-            seeds = seeds[partial[seeds] > -np.inf]
-            exact = partial[seeds] + x[np.ix_(seeds, others)] @ part[i, others]
-            floor = exact.min() if len(seeds) >= k else -np.inf
-            bound = np.minimum(tops[i], rest_norms[:, i] * norms[i]) + 0.5  # scores are integers
-            rows = np.flatnonzero((partial + bound >= floor) & (partial > -np.inf))
-            scores = partial[rows]
+def max_score(x: np.ndarray, ids: np.ndarray, own: np.ndarray, q: np.ndarray, k: int, chunk: int | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(rows of x, scores) of each query's k best, without the row at own[i] (-1: none); x and q have equal widths."""
+    largest = int(np.abs(x).max(initial=0)) * int(np.abs(q).max(initial=0)) * max(1, x.shape[1])
+    kind = np.float64 if largest < 1 << 53 else object
+    q, chunk = q.astype(kind), chunk or CHUNK
+    best = [(np.zeros(0, np.int64), np.zeros(0, kind)) for _ in q]
+    for first in range(0, len(x), chunk):
+        part = x[first : first + chunk].astype(kind)
+        low, high = part.min(axis=0), part.max(axis=0)
+        most, least = np.maximum(q * high, q * low), np.minimum(q * high, q * low)
+        ranges = most - least
+        order = np.argsort(ranges, axis=1, kind="stable")
+        raised = least.sum(axis=1)[:, None] + np.cumsum(np.take_along_axis(ranges, order, 1), axis=1)
+        full = np.array([len(r) == k for r, _ in best])
+        floors = np.array([s[-1] if f else 0 for f, (_, s) in zip(full, best)], kind)
+        split = np.where(full, (raised < floors[:, None]).sum(axis=1), 0)  # terms that are not essential
+        asked = np.flatnonzero(split < x.shape[1]) if x.shape[1] else np.arange(len(q))
+        essential = np.zeros(q.shape, bool)
+        np.put_along_axis(essential, order, np.arange(x.shape[1])[None, :] >= split[:, None], 1)
+        sums = part @ np.where(essential, q, 0)[asked].T
+        for column, i in enumerate(asked.tolist()):
+            others, scores = order[i, : split[i]][::-1], sums[:, column]
+            rest = most[i, others].sum()
+            held = scores + rest >= floors[i] if full[i] else np.ones(len(part), bool)
+            if first <= own[i] < first + len(part):
+                held[own[i] - first] = False
+            rows = np.flatnonzero(held)
+            scores = scores[rows]
             for at in range(0, len(others), _PROBE):
+                if not len(rows):
+                    break
                 now, later = others[at : at + _PROBE], others[at + _PROBE :]
-                scores = scores + x[np.ix_(rows, now)] @ part[i, now]
-                if len(later) and len(rows) > 2 * k:
-                    most = np.maximum(part[i, later] * high[later], part[i, later] * low[later]).sum()
-                    held = scores + most + 0.5 >= floor
-                    rows, scores = rows[held], scores[held]
-            best = _best(scores, ids[rows], k)
-            found.append((rows[best], scores[best]))
-    return found
+                scores = scores + part[np.ix_(rows, now)] @ q[i, now]
+                held = np.flatnonzero(scores + most[i, later].sum() >= floors[i])
+                rows, scores = rows[held], scores[held]
+            if len(rows):
+                rows, scores = np.concatenate([best[i][0], rows + first]), np.concatenate([best[i][1], scores])
+                top = _best(scores, ids[rows], k)
+                best[i] = rows[top], scores[top]
+    return best
+
+
+def _search(k: int):
+    """Streams rows (shard, span, side, vec_id, n, v) in that order: a shard's candidates, then the queries for it."""
+    columns, chunk, block = ["query_id", "query_n", "vec_id", "score"], CHUNK, BLOCK_ROWS
+
+    def run(batches):
+        group, held, shard = None, [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(3)])
+            cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+                ids, ns, vectors = (batch.column(i).slice(a, b - a) for i in (3, 4, 5))
+                ids, ns = ids.to_numpy(), ns.to_numpy()
+                if (own := tuple(keys[:2, a])) != group:
+                    group, held, shard = own, [], None
+                if not keys[2, a]:
+                    held.append((ids, ns, _matrix(vectors)))
+                    continue
+                if not held:
+                    continue  # a shard without candidates
+                if shard is None:
+                    width = max(x.shape[1] for _, _, x in held)
+                    found = np.concatenate([np.pad(x, ((0, 0), (0, width - x.shape[1]))) for _, _, x in held])
+                    shard = tuple(np.concatenate(x) for x in zip(*((i, n) for i, n, _ in held))), found
+                    place = {p: i for i, p in enumerate(zip(shard[0][0].tolist(), shard[0][1].tolist()))}
+                (all_ids, _), x = shard
+                for at in range(0, b - a, block):
+                    asked = list(zip(ids[at : at + block].tolist(), ns[at : at + block].tolist()))
+                    q = _matrix(vectors.slice(at, block), x.shape[1])
+                    wide = np.pad(x, ((0, 0), (0, q.shape[1] - x.shape[1]))) if q.shape[1] > x.shape[1] else x
+                    best = max_score(wide, all_ids, np.array([place.get(p, -1) for p in asked]), q, k, chunk)
+                    sizes = [len(r) for r, _ in best]
+                    yield pa.RecordBatch.from_arrays([
+                        *(pa.array(np.repeat([p[i] for p in asked], sizes).astype(np.int64)) for i in (0, 1)),
+                        pa.array(all_ids[np.concatenate([r for r, _ in best])]), pa.array([int(s) for _, scores in best for s in scores], pa.int64()),
+                    ], names=columns)
+
+    return run
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, rank, vec_id, score) from vectors and queries of (vec_id, n, v): v integer components;
     a query leaves out the row with its own (vec_id, n)."""
-    shards = max(1, -(-vectors.count() // SHARD_ROWS))
-    blocks = max(1, -(-queries.count() // BLOCK_ROWS))
+    spark = vectors.sparkSession
+    common.bounded_arrow(spark)
+    rows = vectors.count()
+    shards = max(1, -(-rows // SHARD_ROWS), min(common.partitions(spark), rows // LEAST_ROWS))
+    spans = max(1, -(-queries.count() // SPAN))
     part = lambda n, seed: F.pmod(F.xxhash64("vec_id", "n", F.lit(seed)), F.lit(n)).cast("int")
-    left = vectors.withColumn("shard", part(shards, 1)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = queries.withColumn("block", part(blocks, 2)).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-
-    def search(candidates: pa.Table, asked: pa.Table) -> pa.Table:
-        names = ["query_id", "query_n", "vec_id", "score"]
-        if not candidates.num_rows or not asked.num_rows:
-            return pa.table({n: pa.array([], pa.int64()) for n in names})
-        ids, ns = candidates["vec_id"].to_numpy(), candidates["n"].to_numpy()
-        asked_ids, asked_ns = asked["vec_id"].to_numpy(), asked["n"].to_numpy()
-        place = {(a, b): i for i, (a, b) in enumerate(zip(ids.tolist(), ns.tolist()))}
-        own = np.array([place.get(x, -1) for x in zip(asked_ids.tolist(), asked_ns.tolist())])
-        found = max_score(_matrix(candidates["v"]), ids, own, _matrix(asked["v"]), k)
-        sizes = [len(r) for r, _ in found]
-        return pa.table([
-            pa.array(np.repeat(asked_ids, sizes)), pa.array(np.repeat(asked_ns, sizes)),
-            pa.array(ids[np.concatenate([r for r, _ in found])]), pa.array([int(x) for _, s in found for x in s], pa.int64()),
-        ], names=names)
-
-    keys = ["block", "shard"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(search, "query_id long, query_n long, vec_id long, score long")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    columns = ["shard", "span", "side", "vec_id", "n", "v"]
+    left = vectors.withColumns({"shard": part(shards, 1), "side": F.lit(0)}).withColumn("span", every(spans)).select(*columns)
+    right = queries.withColumns({"span": part(spans, 2), "side": F.lit(1)}).withColumn("shard", every(shards)).select(*columns)
+    dealt = left.unionByName(right).repartition(min(shards * spans, 16 * common.partitions(spark)), "shard", "span").sortWithinPartitions("shard", "span", "side")
+    found = dealt.mapInArrow(common.lean(_search(k)), "query_id long, query_n long, vec_id long, score long")
     window = Window.partitionBy("query_id", "query_n").orderBy(F.desc("score"), F.asc("vec_id"))
     return found.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k)
 
