@@ -1,10 +1,11 @@
 """Operator 8, LM scoring: stupid backoff, relationally.
 
 Words are lower-cased (A-Z) runs of characters other than white space. The corpus's n-grams up to ``ORDER``
-are counted over all documents; those of two words and more that occur less than ``MIN_COUNT``
-times are left out of the model. A word's score after its (ORDER - 1) predecessors is c(n-gram) / c(context)
-if the n-gram is in the model, else ``BACKOFF`` times its score after one predecessor fewer; at last
-c(word) / all words. A document's score is the sum of the logarithms.
+are counted over all documents, and each document is scored by the others: its own occurrences are taken off
+every count that it uses, so that none is its own evidence and no n-gram need be left out. With c for what
+then remains, a word's score after its (ORDER - 1) predecessors is c(n-gram) / c(context) if c(n-gram) > 0, else
+``BACKOFF`` times its score after one predecessor fewer; at last c(word) / all words, where a word that no
+other document has counts as BACKOFF occurrences. A document's score is the sum of the logarithms.
 
 Documents are dealt into batches by their key's hash. Each batch explodes its n-grams into fingerprints, counts
 its distinct ones, and sends these partial counts to buckets, which are ranges of fingerprints. A
@@ -15,7 +16,8 @@ for each batch, so no key is hot. Batches and buckets hold a bounded number of b
 follow the corpus.
 
 Odd input: null, empty and blank texts have no words, score 0 and a null mean; contexts do not cross documents;
-repeated rows and copies count as often as they occur.
+repeated rows and copies count as often as they occur, and are others to each other. Scores under an
+empty rest of the corpus are those of words that none has, out of one word.
 """
 
 from __future__ import annotations
@@ -28,7 +30,6 @@ from pyspark.sql import functions as F
 from quarry.llm import common
 
 ORDER = 3
-MIN_COUNT = 2
 BACKOFF = 0.4
 BATCH_BYTES = 12 << 20
 BUCKET_BYTES = 4 << 20
@@ -66,6 +67,19 @@ def _batch_counts(levels: list[np.ndarray], bounds: np.ndarray) -> tuple[np.ndar
     return found, counts
 
 
+def _own(level: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """For each place, how often its n-gram stands in its text; of: the places' texts."""
+    pair = common.mix(level ^ common.mix(of.astype(np.uint64) + np.uint64(1)))
+    order = np.argsort(pair)
+    pair = pair[order]
+    new = np.ones(len(pair), bool)
+    new[1:] = pair[1:] != pair[:-1]
+    sizes = np.diff(np.append(np.flatnonzero(new), len(pair)))
+    out = np.empty(len(pair), np.int64)
+    out[order] = np.repeat(sizes, sizes)
+    return out
+
+
 def _bucket_cuts(found: np.ndarray, buckets: int) -> np.ndarray:
     """Where each bucket's range of fingerprints starts in a sorted array; n+1 places."""
     edges = np.array([i * (1 << 64) // buckets for i in range(1, buckets)], np.uint64)
@@ -151,8 +165,8 @@ def count_and_join(batches: DataFrame, buckets: int, order: int) -> DataFrame:
     return sent.groupBy("bucket").applyInArrow(total, "batch int, bucket int, totals binary")
 
 
-def lm_scores(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, backoff: float = BACKOFF) -> DataFrame:
-    """(key, doc_id, n_words, score) of keyed documents, under the model of the same documents."""
+def lm_scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF) -> DataFrame:
+    """(key, doc_id, n_words, score) of keyed documents, each under the model of the others."""
     spark = docs.sparkSession
     common.bounded_arrow(spark)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -165,20 +179,19 @@ def lm_scores(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, b
         found, _ = _batch_counts(levels, bounds)
         answered = sorted(zip(answers["bucket"].to_pylist(), answers["totals"].to_pylist()))
         total = np.concatenate([_unpack(x) for _, x in answered]).astype(np.float64)
-        counts = []
+        of, counts = common.spread(bounds), []
         for level in levels:
             rank = np.argsort(level)
-            own = np.empty(len(level))
-            own[rank] = total[np.minimum(np.searchsorted(found, level[rank]), len(total) - 1)]
-            own[level == 0] = 0
-            counts.append(own)
-        words = total[np.searchsorted(found, _ALL)]
-        best = counts[0] / max(words, 1)
+            others = np.empty(len(level))
+            others[rank] = total[np.minimum(np.searchsorted(found, level[rank]), len(total) - 1)]
+            counts.append(np.where(level == 0, 0, others - _own(level, of)))
+        words = total[np.searchsorted(found, _ALL)] - np.diff(bounds)[of]
+        best = np.maximum(counts[0], backoff) / np.maximum(words, 1)
         for n in range(2, order + 1):
             context = np.zeros(len(best))
             context[1:] = counts[n - 2][:-1]
-            held = (counts[n - 1] >= min_count) & (place >= n - 1)
-            best = np.where(held, counts[n - 1] / np.maximum(context, 1), np.where(place >= n - 1, backoff * best, best))
+            inside = place >= n - 1
+            best = np.where(inside & (counts[n - 1] > 0), counts[n - 1] / np.maximum(context, 1), np.where(inside, backoff * best, best))
         logs = np.log(best) if len(best) else best
         sums = np.array([logs[a:b].sum() for a, b in zip(bounds, bounds[1:])])
         return pa.table({"key": texts["key"], "doc_id": texts["doc_id"], "n_words": pa.array(np.diff(bounds)), "score": pa.array(sums, pa.float64())})
@@ -191,21 +204,24 @@ def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", F.round("score", 6).alias("score"), F.when(F.col("n_words") > 0, F.round(F.col("score") / F.col("n_words"), 6)).alias("mean_log_score"))
 
 
-def brute(texts: list[str | None], order: int = ORDER, min_count: int = MIN_COUNT, backoff: float = BACKOFF) -> list[float]:
+def brute(texts: list[str | None], order: int = ORDER, backoff: float = BACKOFF) -> list[float]:
     """Scores from dictionaries, word by word; for tests."""
     import math
     import re
     from collections import Counter
 
     docs = [re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for t in texts]
-    counts = Counter(tuple(d[i - n : i]) for d in docs for n in range(1, order + 1) for i in range(n, len(d) + 1))
+    count = lambda d: Counter(tuple(d[i - n : i]) for n in range(1, order + 1) for i in range(n, len(d) + 1))
+    own = [count(d) for d in docs]
+    every = sum(own, Counter())
     words = sum(map(len, docs))
 
-    def of(history: tuple[str, ...], word: str) -> float:
+    def of(d: int, history: tuple[str, ...], word: str) -> float:
+        left = every[*history, word] - own[d][*history, word]
         if not history:
-            return counts[word,] / words
-        if (c := counts[*history, word]) >= min_count:
-            return c / counts[history]
-        return backoff * of(history[1:], word)
+            return max(left, backoff) / max(words - len(docs[d]), 1)
+        if left:
+            return left / (every[history] - own[d][history])
+        return backoff * of(d, history[1:], word)
 
-    return [sum(math.log(of(tuple(d[max(0, i - order + 1) : i]), w)) for i, w in enumerate(d)) for d in docs]
+    return [sum(math.log(of(k, tuple(d[max(0, i - order + 1) : i]), w)) for i, w in enumerate(d)) for k, d in enumerate(docs)]
