@@ -3,12 +3,14 @@
 log P(language | row) adds up, besides a constant, the tempered log-likelihood of the text's byte trigrams,
 the log-likelihood of the language its markup declares, and the log prior of its host. Priors are
 smoothed down a hierarchy, all corpus -> address suffix -> host, and like P(declared | language) come out
-of grouped aggregates of every row's text-only posterior. The class ``und`` (text spread evenly over all
+of grouped aggregates of every row's text-only posterior, from each of which the row's own posterior is taken
+off, so that no row is its own evidence. The class ``und`` (text spread evenly over all
 trigrams) stands for what is no language; a row is accepted unless that class has a posterior of
 ``REJECT`` or the row has no text.
 
-The trigram model alone is fitted on a sample: ``SAMPLE`` labelled rows, those whose ids' hashes are
-least. Everything else covers all rows.
+The trigram model alone is fitted on a sample: of each language the labelled rows whose ids' hashes are in the
+share that gives ``SAMPLE`` rows on average, all rows of a language that has fewer. Everything else covers all
+rows. A language takes 128 KB in the model; more than ``MOST_LANGUAGES`` of them are refused with an error.
 
 Odd input: null or empty text is never accepted and gets ``und`` from no text evidence; a null host has
 the corpus's prior; a missing declaration adds nothing; ties go to the first language by name.
@@ -24,8 +26,8 @@ from pyspark.sql import functions as F
 
 from quarry.llm import common
 
-SAMPLE = 4_000
-MOST_LANGUAGES = 200
+SAMPLE = 1_000
+MOST_LANGUAGES = 1_000
 BUCKETS = 1 << 15
 #: Trigrams of a text overlap and repeat: it counts as this many independent ones at most.
 EFFECTIVE = 60.0
@@ -59,9 +61,11 @@ def _trigrams(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndar
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
     """(languages, log P(bucket | language)) from (doc_id, lang, text)."""
     labelled = labelled.where("lang is not null and lang <> '' and text is not null")
-    names = [r[0] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()]
-    chosen = labelled.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = labelled.join(F.broadcast(chosen), "doc_id", "left_semi").where(F.col("lang").isin(names))
+    sizes = labelled.groupBy("lang").agg(F.count("*").alias("rows"))
+    if sizes.limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    place = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / float(1 << 53)
+    rows = labelled.join(F.broadcast(sizes), "lang").where(place * F.col("rows") < sample)
 
     def count(batches):
         for batch in batches:
@@ -122,32 +126,35 @@ def identify(rows: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
     own = [c for c in rows.columns if c not in ("host", "suffix", "declared", "body")]
     scored = common.pinned(text_scores(rows.select(*own, "host", "suffix", "declared", "body"), model))
     soft = scored.where("trigrams > 0").select("host", "suffix", "declared", _softmax(F.col("scores")).alias("p"))
-    sums = lambda: [F.sum(F.col("p")[i]).alias(f"c{i}") for i in range(n)]
-    total = soft.agg(*sums()).first()
-    whole = sum(x or 0.0 for x in total)
-    top = [((x or 0.0) + 1.0) / (whole + n) for x in total]
-
-    def smoothed(parent: list[Column]) -> Column:
-        counted = sum((F.col(f"c{i}") for i in range(1, n)), F.col("c0"))
-        return F.array(*[(F.col(f"c{i}") + KAPPA * parent[i]) / (counted + KAPPA) for i in range(n)])
-
-    suffixes = soft.where("suffix is not null").groupBy("suffix").agg(*sums()).select("suffix", smoothed([F.lit(x) for x in top]).alias("above"))
-    hosts = soft.where("host is not null").groupBy("host", "suffix").agg(*sums())
-    above = F.coalesce(F.col("above"), F.array(*[F.lit(x) for x in top]))
-    hosts = hosts.join(common.small(suffixes), "suffix", "left").select("host", F.col("suffix").alias("_q_suffix"), smoothed([above[i] for i in range(n)]).alias("prior"))
-    hosts = common.pinned(hosts)
-    declared = soft.where("declared is not null").groupBy("declared").agg(*sums())
-    declared = common.pinned(declared)
-    seen = declared.agg(F.count("*").alias("values"), *[F.sum(f"c{i}").alias(f"c{i}") for i in range(n)]).first()
+    # each posterior sums to 1, so that a group's rows are its sums' total
+    sums = lambda: [F.count("*").alias("rows"), *[F.sum(F.col("p")[i]).alias(f"c{i}") for i in range(n)]]
+    counted = lambda name: F.struct(F.array(*[F.col(f"c{i}") for i in range(n)]).alias("sums"), F.col("rows").cast("double").alias("rows")).alias(name)
+    all_rows, *every = (x or 0.0 for x in soft.agg(*sums()).first())
+    suffixes = soft.where("suffix is not null").groupBy("suffix").agg(*sums()).select(F.col("suffix").alias("_q_suffix"), counted("of_suffix"))
+    hosts = soft.where("host is not null").groupBy("host", "suffix").agg(*sums()).select(F.col("host").alias("_q_host"), "suffix", counted("of_host"))
+    hosts = common.pinned(hosts.join(common.small(suffixes), F.col("suffix") == F.col("_q_suffix"), "left").select("_q_host", F.col("suffix").alias("_q_suffix"), "of_host", "of_suffix"))
+    declared = common.pinned(soft.where("declared is not null").groupBy("declared").agg(*sums()).select("declared", counted("of_declared")))
+    seen = declared.agg(F.count("*").alias("values"), *[F.sum(F.col("of_declared.sums")[i]).alias(f"c{i}") for i in range(n)]).first()
     values = seen["values"] + 1
-    said = declared.select("declared", F.array(*[F.log((F.col(f"c{i}") + DECLARED) / ((seen[f"c{i}"] or 0.0) + DECLARED * values)) for i in range(n)]).alias("said"))
-
-    priors = common.small(hosts.withColumnRenamed("host", "_q_host"))
-    joined = scored.join(priors, (F.col("host") == F.col("_q_host")) & F.col("suffix").eqNullSafe(F.col("_q_suffix")), "left")
-    joined = joined.join(common.small(said), "declared", "left")
-    prior = F.coalesce(F.col("prior"), F.array(*[F.lit(x) for x in top]))
-    fused = F.zip_with(F.zip_with("scores", F.transform(prior, lambda x: F.log(x)), lambda a, b: a + b), F.coalesce(F.col("said"), F.array_repeat(F.lit(0.0), n)), lambda a, b: a + b)
-    found = joined.select(*own, "trigrams", _softmax(fused).alias("p"))
+
+    joined = scored.join(common.small(hosts), (F.col("host") == F.col("_q_host")) & F.col("suffix").eqNullSafe(F.col("_q_suffix")), "left").join(common.small(declared), "declared", "left")
+    text = F.col("trigrams") > 0  # such a row is in all sums
+    joined = joined.withColumn("p", F.when(text, _softmax(F.col("scores"))).otherwise(F.array_repeat(F.lit(0.0), n)))
+    rest = lambda counts: F.zip_with(counts, F.col("p"), lambda c, x: F.greatest(c - x, F.lit(0.0)))
+
+    def smoothed(counts: Column, rows: Column, parent: Column, weight: float) -> Column:
+        return F.zip_with(rest(counts), parent, lambda c, x: (c + weight * x) / (rows - text.cast("double") + weight))
+
+    top = smoothed(F.array(*[F.lit(float(x)) for x in every]), F.lit(float(all_rows)), F.array_repeat(F.lit(1.0 / n), n), float(n))
+    above = F.when(F.col("of_suffix").isNull(), top).otherwise(smoothed(F.col("of_suffix.sums"), F.col("of_suffix.rows"), top, KAPPA))
+    prior = F.when(F.col("of_host").isNull(), top).otherwise(smoothed(F.col("of_host.sums"), F.col("of_host.rows"), above, KAPPA))
+    whole = rest(F.array(*[F.lit(seen[f"c{i}"] or 0.0) for i in range(n)]))
+    said = F.zip_with(rest(F.col("of_declared.sums")), whole, lambda c, of: F.log((c + DECLARED) / (of + DECLARED * values)))
+    said = F.when(F.col("of_declared").isNull(), F.array_repeat(F.lit(0.0), n)).otherwise(said)
+    add = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
+    joined = joined.select(*own, "trigrams", "scores", F.transform(prior, lambda x: F.log(x)).alias("prior"), said.alias("said"))
+    fused = add(add(F.col("scores"), F.col("prior")), F.col("said"))
+    found = joined.select(*own, "trigrams", fused.alias("fused")).select(*own, "trigrams", _softmax(F.col("fused")).alias("p"))
     known = F.slice("p", 1, n - 1)
     best = F.array_position(known, F.array_max(known)).cast("int")
     none = (F.col("trigrams") == 0) | (F.col("p")[n - 1] >= REJECT)
@@ -182,6 +189,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(rows, model).select("doc_id", "page_id", "lang", F.round("posterior", 6).alias("posterior"), "accepted")
 
 
+@common.shielded
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text is in a language; all columns as they came."""
     model = fit(docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), "text"))
