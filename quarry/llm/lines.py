@@ -101,6 +101,7 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(docs, exact=F.col("_q_key")).select("doc_id", F.col("_q_lines").alias("n_lines"), F.col("_q_gone").alias("n_dropped"), common.sha_hex(F.col("text")).alias("kept_sha256"), F.length("text").cast("long").alias("n_chars"))
 
 
+@common.shielded
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without recurring lines; those left without any text go."""
     rows = common.keyed(docs.withColumn("text", F.coalesce("text", F.lit(""))), docs.columns)

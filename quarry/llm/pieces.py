@@ -235,6 +235,7 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "ids", F.size("ids").cast("long").alias("n_pieces"), common.sha_hex(F.col("decoded")).alias("decoded_sha256"), (F.col("decoded") == F.translate("text", SPACE, " ")).alias("same"))
 
 
+@common.shielded
 def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their ids, and whether these decode to the text again."""
     found = round_trip(docs.withColumn("text", F.coalesce("text", F.lit(""))), into="piece_ids", back="_q_decoded")
