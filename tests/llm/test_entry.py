@@ -3,8 +3,10 @@ import pathlib
 
 from test_operators import brute_components, brute_lines
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from quarry.llm import lines, queries
+from quarry.llm import lines, pipeline, queries
 
 DATA = "/root/testdata/sf0.001"
 ROOT = pathlib.Path(__file__).parents[2]
@@ -27,7 +29,7 @@ def test_pipeline(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     found = corpus_pipeline.run(spark, DATA).collect()
     rows = sorted((r.doc_id, r.text) for r in docs.collect() if r.text and any(c.isalpha() for c in r.text))
-    kept = brute_lines(rows)
+    kept = brute_lines(rows, exact=True)
     rows = [(d, kept[d]) for d, t in rows if kept[d] == t or kept[d].strip()]
     rows = [(d, t) for (d, t), (_, c) in zip(rows, brute_components(rows, 5)) if d == c]
     got = {r.doc_id: r.text for r in found}
@@ -37,6 +39,17 @@ def test_pipeline(spark):
     assert lines.MIN_DOCS == 5
 
 
+def test_pipeline_odd(spark, odd, none):
+    """Nulls, repeats, long texts, and columns of internal names, through all stages."""
+    clashing = odd.withColumns({"_q_key": F.lit(1), "_Q_text": F.lit("x"), "r_0": F.lit(2)})
+    found = pipeline.run_on(spark, clashing, "")
+    assert found.columns == [*clashing.columns, "piece_ids", "n_pieces", "decodes"]
+    kept = [(r.doc_id, r.text) for r in found.collect()]
+    assert all(t and t.strip() for _, t in kept) and len(kept) == len(set(kept)) and {None, 8, 9} <= {d for d, _ in kept}
+    assert found.where("_q_key <> 1 or r_0 <> 2 or _Q_text <> 'x' or key <> 'clash'").count() == 0
+    assert pipeline.run_on(spark, none, "").count() == 0
+
+
 def test_nothing_else_imports_the_subpackage():
     for path in pathlib.Path(ROOT, "quarry").rglob("*.py"):
         if "llm" in path.parts:
