@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Tokens, their least length, and the words that prose drops.
 MIN_TOKEN = 2
-STOPWORDS = """
-the a an and or but if then else of in on to for with by as is it this that these those be are was were
-from at into your you we our i me my do does did have has had can will would should
-""".split()
+STOPWORDS = (
+    "the", "a", "an", "and", "or", "but", "if", "then", "else", "of", "in", "on", "to", "for", "with", "by", "as", "is",
+    "it", "this", "that", "these", "those", "be", "are", "was", "were", "from", "at", "into", "your", "you", "we", "our",
+    "i", "me", "my", "do", "does", "did", "have", "has", "had", "can", "will", "would", "should",
+)
 TOKEN = r"[A-Za-z_][A-Za-z0-9_]*|\p{Nd}+(?:\.\p{Nd}+)?"
-# End of the fixed values.
-
-#: Between a small letter or digit and a capital, and before the last capital of a run that a small letter follows.
+# Where a name's parts meet: between a small letter or digit and a capital, and before the last capital of a run
+# that a small letter follows.
 _HUMP = r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])"
+# End of the fixed values.
 
 
 def not_blank(text: Column) -> Column:
@@ -46,6 +47,20 @@ def tokenize(text: Column) -> Column:
     return F.flatten(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0)), expand))
 
 
+def token_rows(rows: DataFrame, column: str = "text") -> DataFrame:
+    """rows with one row for each token, ``term``, in place of the text column: the tokens of tokenize(), without their
+    order. Flat columns instead of nested arrays, so that all but the extraction itself is generated code."""
+    kept = [c for c in rows.columns if c != column]
+    raws = rows.select(*kept, F.explode(F.regexp_extract_all(F.col(column), F.lit(TOKEN), F.lit(0))).alias("_raw"))
+    rest = F.substring("_raw", 2, 2**31 - 1)
+    raws = raws.withColumn("_name", F.col("_raw").contains("_") | (rest != F.lower(rest)))
+    whole = F.array(F.lower("_raw"))
+    tokens = raws.select(*kept, "_name", F.explode(F.when(F.col("_name"), _parts(F.col("_raw"))).otherwise(whole)).alias("term"))
+    term = F.col("term")
+    held = (F.length(term) >= MIN_TOKEN) & F.when(F.col("_name"), ~term.rlike("^_+$")).otherwise(~term.isin(*STOPWORDS))
+    return tokens.where(held).select(*kept, "term")
+
+
 def cache_key(question: Column, k: Column) -> Column:
     """Fingerprint of a question, in any case and spacing, and its k."""
     plain = F.regexp_replace(F.regexp_replace(F.lower(question), r"(?U)^\s+|\s+$", ""), r"(?U)\s+", " ")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import ranking, text
@@ -22,47 +22,51 @@ class LexicalIndex:
         return row["n_docs"], row["avgdl"]
 
 
-def tokens_of(chunks: DataFrame) -> DataFrame:
-    return chunks.select(F.col("id").alias("chunk_id"), "ordinal", text.tokenize(F.col("text")).alias("tokens"))
+def token_rows(chunks: DataFrame) -> DataFrame:
+    """(chunk_id, ordinal, term): a row for each token."""
+    return text.token_rows(chunks.select(F.col("id").alias("chunk_id"), "ordinal", "text"))
 
 
 def term_frequencies(tokens: DataFrame) -> DataFrame:
-    return tokens.select("chunk_id", "ordinal", F.explode("tokens").alias("term")).groupBy("term", "chunk_id", "ordinal").agg(F.count("*").alias("tf"))
+    return tokens.groupBy("term", "chunk_id", "ordinal").agg(F.count("*").alias("tf"))
 
 
-def document_lengths(tokens: DataFrame) -> DataFrame:
-    """Every chunk's number of tokens, also those without any."""
-    return tokens.select("chunk_id", "ordinal", F.size("tokens").cast("long").alias("dl"))
+def document_lengths(chunks: DataFrame, counts: DataFrame) -> DataFrame:
+    """Every chunk's number of tokens, also those without any, from rows (ordinal, tf) of any grain."""
+    sums = counts.groupBy("ordinal").agg(F.sum("tf").alias("dl"))
+    return chunks.select(F.col("id").alias("chunk_id"), "ordinal").join(sums, "ordinal", "left").select("chunk_id", "ordinal", F.coalesce("dl", F.lit(0)).alias("dl"))
+
+
+def document_frequencies(postings: DataFrame, n_docs: int) -> DataFrame:
+    df = postings.groupBy("term").agg(F.count("*").alias("df"))
+    return df.withColumn("idf", ranking.idf(F.lit(n_docs), F.col("df")))
 
 
 def corpus(doc_stats: DataFrame) -> DataFrame:
     return doc_stats.agg(F.count("*").alias("n_docs"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
 
 
-def build(chunks: DataFrame) -> LexicalIndex:
-    """The index of chunks (id, ordinal, text). The number of chunks goes into the idf as a constant."""
-    tokens = tokens_of(chunks)
-    doc_stats = document_lengths(tokens)
-    stats = corpus(doc_stats)
-    postings = term_frequencies(tokens)
-    n_docs = chunks.count()
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    return LexicalIndex(postings, df.withColumn("idf", ranking.idf(F.lit(n_docs), F.col("df"))), doc_stats, stats)
+def build(chunks: DataFrame, postings: DataFrame | None = None) -> LexicalIndex:
+    """The index of chunks (id, ordinal, text), everything derived from the postings, which may be given where they
+    are stored already. The number of chunks goes into the idf as a constant."""
+    if postings is None:
+        postings = term_frequencies(token_rows(chunks))
+    doc_stats = document_lengths(chunks, postings)
+    return LexicalIndex(postings, document_frequencies(postings, chunks.count()), doc_stats, corpus(doc_stats))
 
 
 def build_for(chunks: DataFrame, terms: DataFrame) -> LexicalIndex:
-    """As build(), but with the postings of the given terms (a column ``term``) only: other tokens are dropped
-    before anything is shuffled, and postings are dealt by chunk, so that scores need no further shuffle."""
-    tokens = tokens_of(chunks)
-    doc_stats = document_lengths(tokens)
-    stats = corpus(doc_stats).persist()
-    n_docs = stats.first()["n_docs"]
-    wanted = terms.select("term").distinct()
-    exploded = tokens.select("chunk_id", "ordinal", F.size("tokens").cast("long").alias("dl"), F.explode("tokens").alias("term"))
-    held = exploded.join(bounded(wanted), "term", "left_semi").repartition("ordinal")
-    postings = held.groupBy("ordinal", "chunk_id", "dl", "term").agg(F.count("*").alias("tf")).persist()
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    return LexicalIndex(postings, df.withColumn("idf", ranking.idf(F.lit(n_docs), F.col("df"))).persist(), doc_stats, stats)
+    """As build(), but with the postings of the given terms (a column ``term``) only. One pass over the text: tokens of
+    other terms are counted together, so each chunk sends one row for these and one for each term that it holds."""
+    wanted = terms.select("term").distinct().withColumn("held", F.col("term"))
+    tokens = token_rows(chunks).join(bounded(wanted), "term", "left")
+    counts = tokens.groupBy("ordinal", "chunk_id", "held").agg(F.count("*").alias("tf")).persist()
+    n_docs = chunks.count()
+    total = counts.agg(F.sum("tf")).first()[0] or 0
+    stats = chunks.sparkSession.range(1).select(F.lit(n_docs).cast("long").alias("n_docs"), F.lit(total / n_docs if n_docs else 0.0).alias("avgdl"))
+    whole = Window.partitionBy("ordinal")  # a chunk's rows: at most one more than there are terms
+    postings = counts.withColumn("dl", F.sum("tf").over(whole)).where("held is not null").select("ordinal", "chunk_id", "dl", F.col("held").alias("term"), "tf").persist()
+    return LexicalIndex(postings, document_frequencies(postings, n_docs).persist(), document_lengths(chunks, counts), stats)
 
 
 #: A table of at most so many narrow rows may be broadcast.

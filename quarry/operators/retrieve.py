@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,8 +16,8 @@ DEFAULT_K = 10
 WIDER, LEAST_CANDIDATES = 4, 10
 # End of the fixed values.
 
-#: Query vectors that one pass over the embeddings holds.
-QUERY_BLOCK = 2_000
+#: Query vectors, and embeddings, that one task holds.
+QUERY_BLOCK, SHARD = 2_000, 8_192
 
 
 def checked_k(k: int) -> int:
@@ -36,6 +37,12 @@ def candidates(k: int, asked: int | None = None) -> int:
     return asked or max(WIDER * k, LEAST_CANDIDATES)
 
 
+def asked(questions: DataFrame) -> DataFrame:
+    """questions (qid, question), of which none may be blank: that is an error once they are read."""
+    blank = F.raise_error(F.concat(F.lit("the question is blank: "), F.coalesce(F.col("qid"), F.lit("null")))).cast("boolean")
+    return questions.where(F.when(F.col("question").isNotNull() & text.not_blank(F.col("question")), True).otherwise(blank))
+
+
 def query_terms(questions: DataFrame) -> DataFrame:
     """(qid, term, qtf, qpos) of questions (qid, question): how often a term stands there, and where first."""
     exploded = questions.select("qid", F.posexplode(text.tokenize(F.col("question"))).alias("qpos", "term"))
@@ -69,47 +76,52 @@ def bm25(questions: DataFrame, index: LexicalIndex, k: int = DEFAULT_K, k1: floa
 def dense(queries: DataFrame, embeddings: DataFrame, k: int = DEFAULT_K) -> DataFrame:
     """Exact inner products of queries (qid, embedding) and embeddings (chunk_id, ordinal, embedding), the k best.
 
-    Query vectors go in blocks of a bounded size to where the embeddings are; each batch keeps its own best,
-    and these are merged.
+    Embeddings are dealt into shards and queries into blocks; every two meet in one task, which keeps each
+    query's best, and these are merged. Vectors that are null or hold a null or NaN take no part; of two
+    lengths, the shorter counts as having zeros.
     """
     checked_k(k)
-    wanted = queries.select(F.col("qid").cast("string").alias("qid"), F.col("embedding").cast("array<double>").alias("embedding")).where("embedding is not null")
-    rows = embeddings.select(F.col("chunk_id").cast("string").alias("chunk_id"), F.col("ordinal").cast("long").alias("ordinal"), F.col("embedding").cast("array<double>").alias("embedding")).where("embedding is not null")
-    blocks: list[DataFrame] = []
-    held: list[tuple[str, list[float]]] = []
-    for row in wanted.toLocalIterator():
-        held.append((row["qid"], row["embedding"]))
-        if len(held) == QUERY_BLOCK:
-            blocks.append(_dense_block(rows, held, k))
-            held = []
-    if held or not blocks:
-        blocks.append(_dense_block(rows, held, k))
-    found = blocks[0]
-    for block in blocks[1:]:
-        found = found.unionByName(block)
+    good = F.col("embedding").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x))
+    wanted = queries.select(F.col("qid").cast("string").alias("qid"), F.col("embedding").cast("array<double>").alias("embedding")).where(good)
+    rows = embeddings.select(F.col("chunk_id").cast("string").alias("chunk_id"), F.col("ordinal").cast("long").alias("ordinal"), F.col("embedding").cast("array<double>").alias("embedding")).where(good)
+    blocks, shards = (max(1, -(-table.count() // size)) for table, size in ((wanted, QUERY_BLOCK), (rows, SHARD)))
+    part = lambda column, n: F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = rows.withColumn("shard", part("ordinal", shards)).withColumn("block", every(blocks))
+    right = wanted.withColumn("block", part("qid", blocks)).withColumn("shard", every(shards))
+    found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(_best_of(k), "qid string, chunk_id string, ordinal long, score double")
     return top(found, k, "ordinal")
 
 
-def _dense_block(rows: DataFrame, held: list[tuple[str, list[float]]], k: int) -> DataFrame:
-    names = [q for q, _ in held]
-    q = np.array([v for _, v in held], np.float64)
-
-    def score(batches):
-        for batch in batches:
-            parts: list[list] = [[], [], [], []]
-            if batch.num_rows and len(names):
-                lists = batch.column(2)
-                flat = lists.values.to_numpy(zero_copy_only=False)[lists.offsets[0].as_py() : lists.offsets[-1].as_py()]
-                x = flat.reshape(batch.num_rows, -1)
-                scores = np.round(q @ x.T, ranking.PLACES)
-                ordinals = batch.column(1).to_numpy()
-                for i, name in enumerate(names):
-                    best = np.lexsort((ordinals, -scores[i]))[:k]
-                    for part, values in zip(parts, ([name] * len(best), [batch.column(0)[j].as_py() for j in best.tolist()], ordinals[best].tolist(), scores[i][best].tolist())):
-                        part += values
-            yield pa.RecordBatch.from_arrays([pa.array(p, t) for p, t in zip(parts, (pa.string(), pa.string(), pa.int64(), pa.float64()))], names=["qid", "chunk_id", "ordinal", "score"])
-
-    return rows.mapInArrow(score, "qid string, chunk_id string, ordinal long, score double")
+def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
+    lists = column.combine_chunks()
+    at, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+    sizes = np.diff(at)
+    out = np.zeros((len(sizes), width))
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    out[row, np.arange(at[0], at[-1]) - at[:-1][row]] = flat[at[0] : at[-1]]
+    return out
+
+
+def _best_of(k: int):
+    def score(rows: pa.Table, queries: pa.Table) -> pa.Table:
+        names, kinds = ["qid", "chunk_id", "ordinal", "score"], (pa.string(), pa.string(), pa.int64(), pa.float64())
+        if not rows.num_rows or not queries.num_rows:
+            return pa.table([pa.array([], t) for t in kinds], names=names)
+        width = max(pc.max(pc.list_value_length(t["embedding"])).as_py() for t in (rows, queries))
+        x, q = (_matrix(t["embedding"], width) for t in (rows, queries))
+        ordinals = rows["ordinal"].to_numpy()
+        places, scores = [], []
+        for one in q:
+            own = np.round(x @ one, ranking.PLACES)
+            best = np.lexsort((ordinals, -own))[:k]
+            places.append(best)
+            scores.append(own[best])
+        at = np.concatenate(places)
+        ids = queries["qid"].take(pa.array(np.repeat(np.arange(len(q)), [len(p) for p in places])))
+        return pa.table([ids, rows["chunk_id"].take(pa.array(at)), pa.array(ordinals[at]), pa.array(np.concatenate(scores))], names=names)
+
+    return score
 
 
 def fuse(first: DataFrame, second: DataFrame, k: int = DEFAULT_K, rrf_k: int = ranking.RRF_K) -> DataFrame:

@@ -7,9 +7,12 @@ indexed, those of low quality have changed since, benchmark passages were files
 
 from __future__ import annotations
 
+import functools
+import tempfile
 from collections.abc import Callable
 from uuid import uuid4
 
+from pyspark.ml.feature import NGram
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +21,9 @@ from quarry.operators import chunking, context, evaluate, incremental, lexical,
 from quarry.sources import datasets, files
 from quarry.sources.store import IndexStore
 
+#: Short passages that ground truth may be searched for directly.
+MOST_SHORT = 1_000
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -69,17 +75,21 @@ def expected(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(item_id, doc_id, file_path, start, end): where a passage first stands in a document.
 
     A passage of seven words or more brings its second to sixth word into the document as they are, so these five
-    find the documents by an equal key; shorter passages are few and are searched for directly.
+    find the documents by an equal key. Shorter passages bring no word that is sure to be whole; they are
+    searched for directly, which takes them as a side of checked size.
     """
     items = _read(spark, sf_dir, "benchmark").where("text is not null").withColumn("words", F.split("text", " ")).select("item_id", F.col("text").alias("passage"), "words")
     docs = _read(spark, sf_dir, "documents").select("doc_id", _path().alias("file_path"), "text")
-    keyed = items.where(F.size("words") >= 7).select("item_id", "passage", F.xxhash64(*[F.col("words")[i] for i in range(1, 6)]).alias("key"))
-    grams = docs.withColumn("words", F.split("text", " ")).where(F.size("words") >= 5)
-    hashes = F.transform(F.sequence(F.lit(0), F.size("words") - 5), lambda i: F.xxhash64(*[F.get("words", i + j) for j in range(5)]))
-    found = grams.select("doc_id", F.explode(F.array_distinct(hashes)).alias("key")).join(lexical.bounded(keyed), "key").select("doc_id", "item_id", "passage")
-    hits = docs.join(lexical.bounded(found.distinct()), "doc_id")
+    keyed = items.where(F.size("words") >= 7).select("item_id", "passage", F.array_join(F.slice("words", 2, 5), " ").alias("key"))
+    words = docs.where("text is not null").select("doc_id", F.split("text", " ").alias("words"))
+    grams = NGram(n=5, inputCol="words", outputCol="grams").transform(words).select("doc_id", F.explode("grams").alias("key"))
+    found = grams.join(lexical.bounded(keyed), "key").select("doc_id", "item_id", "passage").distinct()
+    hits = docs.join(lexical.bounded(found), "doc_id")
     short = items.where(F.size("words") < 7).select("item_id", "passage")
-    if short.limit(1).count():
+    n = short.limit(MOST_SHORT + 1).count()
+    if n > MOST_SHORT:
+        raise ValueError(f"more than {MOST_SHORT} passages of less than seven words")
+    if n:
         hits = hits.unionByName(docs.join(F.broadcast(short), F.col("text").contains(F.col("passage"))))
     start = F.expr("instr(text, passage) - 1")
     return hits.where("instr(text, passage) > 0").select("item_id", "doc_id", "file_path", start.alias("start"), (start + F.length("passage")).alias("end"))
@@ -146,9 +156,15 @@ def tokenize_documents(spark, sf_dir):
     return docs.select("doc_id", F.posexplode(text.tokenize(F.col("text"))).alias("pos", "token")).withColumn("pos", F.col("pos").cast("long"))
 
 
+def _frequencies(spark, sf_dir) -> DataFrame:
+    """(doc_id, term, tf) of whole documents, whose chunk ids say no more than their numbers."""
+    tokens = text.token_rows(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return tokens.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+
+
 @query(f"WITH {DOC_TOKENS} SELECT id AS doc_id, token AS term, count(*) AS tf FROM tokens GROUP BY ALL")
 def term_frequency(spark, sf_dir):
-    return lexical.term_frequencies(lexical.tokens_of(documents(spark, sf_dir))).select(F.col("ordinal").alias("doc_id"), "term", "tf")
+    return _frequencies(spark, sf_dir)
 
 
 @query(f"WITH {DOC_TOKENS} SELECT token AS term, count(DISTINCT id) AS df FROM tokens GROUP BY token")
@@ -156,14 +172,19 @@ def document_frequency(spark, sf_dir):
     return lexical.build(documents(spark, sf_dir)).term_stats.select("term", "df")
 
 
+def _lengths(spark, sf_dir) -> DataFrame:
+    tokens = text.token_rows(_read(spark, sf_dir, "documents").select(F.col("doc_id").alias("ordinal"), "text"))
+    return lexical.document_lengths(documents(spark, sf_dir), tokens.select("ordinal", F.lit(1).alias("tf")))
+
+
 @query(f"WITH {DOC_TOKENS} SELECT doc_id, count(token) AS dl FROM documents LEFT JOIN tokens ON id = doc_id GROUP BY doc_id")
 def doc_lengths(spark, sf_dir):
-    return lexical.document_lengths(lexical.tokens_of(documents(spark, sf_dir))).select(F.col("ordinal").alias("doc_id"), "dl")
+    return _lengths(spark, sf_dir).select(F.col("ordinal").alias("doc_id"), "dl")
 
 
 @query(f"WITH {DOC_TOKENS}, dl AS (SELECT doc_id, count(token) AS dl FROM documents LEFT JOIN tokens ON id = doc_id GROUP BY doc_id) SELECT count(*) AS n_docs, round(avg(dl), 6) AS avgdl FROM dl")
 def corpus_stats(spark, sf_dir):
-    return lexical.corpus(lexical.document_lengths(lexical.tokens_of(documents(spark, sf_dir)))).select("n_docs", F.round("avgdl", 6).alias("avgdl"))
+    return lexical.corpus(_lengths(spark, sf_dir)).select("n_docs", F.round("avgdl", 6).alias("avgdl"))
 
 
 @query(f"""WITH {DOC_TOKENS}, df AS (SELECT token, count(DISTINCT id) AS df FROM tokens GROUP BY token), n AS (SELECT count(*) AS n FROM documents)
@@ -172,11 +193,13 @@ def idf_table(spark, sf_dir):
     return lexical.build(documents(spark, sf_dir)).term_stats.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
-@query(f"WITH {DOC_TOKENS} SELECT token AS term, list(struct_pack(doc_id := id, tf := tf) ORDER BY id)[1].doc_id AS first_doc, count(*) AS df, sum(tf)::BIGINT AS cf FROM (SELECT token, id, count(*) AS tf FROM tokens GROUP BY ALL) GROUP BY token")
+@query(f"""WITH {DOC_TOKENS}, tf AS (SELECT token, id, count(*) AS tf FROM tokens GROUP BY ALL)
+SELECT token AS term, array_to_string(list(id || ':' || tf ORDER BY id), ' ') AS list, count(*) AS df, sum(tf)::BIGINT AS cf FROM tf GROUP BY token""")
 def postings(spark, sf_dir):
-    """Posting lists in order, as their heads and sums; full lists are rows of term_frequency."""
-    rows = lexical.build(documents(spark, sf_dir)).postings
-    return rows.groupBy("term").agg(F.min("ordinal").alias("first_doc"), F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    """Posting lists in order, written as ``chunk:tf`` each."""
+    rows = _frequencies(spark, sf_dir)
+    lists = rows.groupBy("term").agg(F.array_sort(F.collect_list(F.struct("doc_id", "tf"))).alias("list"), F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    return lists.withColumn("list", F.array_join(F.transform("list", lambda p: F.concat_ws(":", p["doc_id"], p["tf"])), " "))
 
 
 # -- retrieval -----------------------------------------------------------------------------------------
@@ -503,19 +526,43 @@ def cache_aside(spark, sf_dir):
     return hits.unionByName(asked.join(held, "key", "left_anti").withColumn("status", F.lit("miss")))
 
 
-@query(f"""WITH {DOC_TOKENS}, tf AS (SELECT token, id, count(*) AS tf FROM tokens GROUP BY ALL)
-SELECT 'chunks' AS "table", count(*) AS rows FROM documents UNION ALL SELECT 'postings', count(*) FROM tf UNION ALL SELECT 'term_stats', count(DISTINCT token) FROM tf
-UNION ALL SELECT 'doc_stats', count(*) FROM documents UNION ALL SELECT 'corpus_stats', 1""")
+def _folder(spark, name: str) -> str:
+    """A new folder in the cluster's shared checkpoint folder, or in a temporary one of a local session."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
+    return f"{(shared or tempfile.mkdtemp()).rstrip('/')}/{name}-{uuid4().hex}"
+
+
+def _stored(spark, sf_dir) -> IndexStore:
+    store = IndexStore(spark, _folder(spark, "index"))
+    store.save(documents(spark, sf_dir))
+    return store
+
+
+INDEX = f"""{DOC_TOKENS}, tf AS (SELECT token, id, count(*) AS tf FROM tokens GROUP BY ALL), df AS (SELECT token, count(*) AS df FROM tf GROUP BY token),
+dl AS (SELECT doc_id, count(token) AS dl FROM documents LEFT JOIN tokens ON id = doc_id GROUP BY doc_id), n AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl)"""
+
+
+@query(f"""WITH {INDEX} SELECT 'chunks' AS "table", CAST(doc_id AS VARCHAR) AS key, sha256(text) AS value FROM documents UNION ALL SELECT 'postings', token || ' ' || id, CAST(tf AS VARCHAR) FROM tf
+UNION ALL SELECT 'term_stats', token, df || ' ' || round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6)::DECIMAL(20, 6) FROM df, n UNION ALL SELECT 'doc_stats', CAST(doc_id AS VARCHAR), CAST(dl AS VARCHAR) FROM dl
+UNION ALL SELECT 'corpus_stats', 'n', n || ' ' || round(avgdl, 6)::DECIMAL(20, 6) FROM n""")
 def index_roundtrip(spark, sf_dir):
-    """Rows of each table after the index of the documents was written and read."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints"
-    store = IndexStore(spark, f"{folder.rstrip('/')}/index-{uuid4().hex}")
-    chunks = documents(spark, sf_dir)
-    store.save(chunks, lexical.build(chunks))
+    """What each table holds after the index of the documents was written and read."""
+    store = _stored(spark, sf_dir)
     index = store.lexical()
-    tables = {"chunks": store.chunks(), "postings": index.postings, "term_stats": index.term_stats, "doc_stats": index.doc_stats, "corpus_stats": index.corpus_stats}
-    found = None
-    for name, table in tables.items():
-        row = table.agg(F.lit(name).alias("table"), F.count("*").alias("rows"))
-        found = row if found is None else found.unionByName(row)
-    return found
+    plain = lambda c: F.round(c, 6).cast("decimal(20, 6)").cast("string")
+    contents = {
+        "chunks": (store.chunks(), F.col("id"), F.sha2("text", 256)), "postings": (index.postings, F.concat_ws(" ", "term", "chunk_id"), F.col("tf").cast("string")),
+        "term_stats": (index.term_stats, F.col("term"), F.concat_ws(" ", F.col("df").cast("string"), plain(F.col("idf")))), "doc_stats": (index.doc_stats, F.col("chunk_id"), F.col("dl").cast("string")),
+        "corpus_stats": (index.corpus_stats, F.lit("n"), F.concat_ws(" ", F.col("n_docs").cast("string"), plain(F.col("avgdl")))),
+    }
+    rows = [table.select(F.lit(name).alias("table"), key.alias("key"), value.alias("value")) for name, (table, key, value) in contents.items()]
+    return functools.reduce(DataFrame.unionByName, rows)
+
+
+@query(f"WITH {DOC_TOP} SELECT qid AS item_id, rank, id AS doc_id, score FROM best")
+def stored_bm25(spark, sf_dir):
+    """Searches the stored index; its postings bring no lengths, which are joined."""
+    found = retrieve.bm25(questions(spark, sf_dir), _stored(spark, sf_dir).lexical(), 10)
+    return found.select(F.col("qid").cast("long").alias("item_id"), F.col("rank").cast("long").alias("rank"), F.col("chunk_id").cast("long").alias("doc_id"), "score")
