@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import json
 from collections.abc import Callable
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
@@ -14,18 +15,35 @@ from quarry.operators import context, incremental, retrieve
 from quarry.plans import models
 from quarry.sources import datasets
 from quarry.sources.cache import QueryCache
-from quarry.sources.store import IndexRegistry, IndexStore
+from quarry.sources.store import LOADED, IndexRegistry, IndexStore
+
+@contextlib.contextmanager
+def kept(table: DataFrame):
+    """The table, held in memory for the time of a request."""
+    table = table.persist()
+    try:
+        yield table
+    finally:
+        table.unpersist()
+
 
 MODES = ("bm25", "semantic", "hybrid")
 
 
 class SearchService:
-    def __init__(self, spark: SparkSession, folder: str, mode: str = "bm25", embedder: Callable[[], models.Embedder] = models.HashingEmbedder, registry: IndexRegistry | None = None, cache: QueryCache | None = None):
+    """retriever: a function of (questions, k) that gives (qid, rank, chunk_id[, score]) in place of the mode's own.
+    Loaded indexes are shared by all services of the process, unless a registry is given."""
+
+    def __init__(
+        self, spark: SparkSession, folder: str, mode: str = "bm25", embedder: Callable[[], models.Embedder] = models.HashingEmbedder, registry: IndexRegistry | None = None,
+        cache: QueryCache | None = None, retriever: Callable[[DataFrame, int], DataFrame] | None = None,
+    ):
         if mode not in MODES:
             raise ValueError(f"mode must be one of {', '.join(MODES)}")
         self.spark, self.mode, self.embedder, self.cache = spark, mode, embedder, cache
         self.store = IndexStore(spark, folder)
-        self.chunks, self.lexical = (registry or IndexRegistry()).get(self.store)
+        self.retriever = retriever or self._ranked
+        self.chunks, self.lexical = (LOADED if registry is None else registry).get(self.store)
         self._embeddings: DataFrame | None = None
 
     def embeddings(self) -> DataFrame:
@@ -50,10 +68,10 @@ class SearchService:
         return retrieve.hybrid(questions, queries, self.lexical, self.embeddings(), k)
 
     def search(self, questions: DataFrame, k: int = retrieve.DEFAULT_K) -> DataFrame:
-        """(qid, rank, chunk_id, file_path, text, start, end, kind) for questions (qid, question)."""
+        """(qid, rank, chunk_id, file_path, text, start, end, kind) for questions (qid, question); a blank one is an error."""
         retrieve.checked_k(k)
-        questions = questions.where(F.trim("question") != "")
-        ranked = self.cache.get_or_compute(questions, k, lambda q: self._ranked(q, k)) if self.cache else self._ranked(questions, k).select("qid", "rank", "chunk_id")
+        questions = retrieve.asked(questions)
+        ranked = self.cache.get_or_compute(questions, k, lambda q: self.retriever(q, k)) if self.cache else self.retriever(questions, k).select("qid", "rank", "chunk_id")
         return retrieve.materialised(ranked, self.chunks)
 
     def search_one(self, question: str, k: int = retrieve.DEFAULT_K) -> list[dict]:
@@ -62,8 +80,8 @@ class SearchService:
         return [r.asDict() for r in self.search(asked, k).orderBy("rank").collect()]
 
     def search_dataset(self, path: str, folder: str, k: int = retrieve.DEFAULT_K) -> str:
-        questions = datasets.load_dataset(self.spark, path).select("qid", "question").persist()
-        return datasets.save_results(datasets.nested_results(questions, self.search(questions, k)), k, path, folder)
+        with kept(datasets.load_dataset(self.spark, path).select("qid", "question")) as questions:
+            return datasets.save_results(datasets.nested_results(questions, self.search(questions, k)), k, path, folder)
 
 
 class AnswerService:
@@ -72,7 +90,7 @@ class AnswerService:
 
     def answers(self, questions: DataFrame, ranked: DataFrame) -> DataFrame:
         """(qid, answer) from ranked chunks with text."""
-        planned = context.answer_messages(questions, context.build_context(ranked)).persist()
+        planned = context.answer_messages(questions, context.build_context(ranked))
         made = models.generate(planned.where("status = 'prompt'"), self.generator)
         return planned.where("status = 'fixed'").select("qid", "answer").unionByName(made)
 
@@ -80,19 +98,19 @@ class AnswerService:
         retrieve.checked_question(question)
         spark = self.search.spark
         asked = spark.createDataFrame([("q", question)], "qid string, question string")
-        ranked = self.search.search(asked, k).persist()
-        text = self.answers(asked, ranked).first()["answer"]
-        spans = ranked.orderBy("rank").select("file_path", F.col("start").alias("first_character_index"), F.col("end").alias("last_character_index"))
-        return {"question": question, "answer": text, "sources": [r.asDict() for r in spans.collect()]}
+        with kept(self.search.search(asked, k)) as ranked:
+            text = self.answers(asked, ranked).first()["answer"]
+            spans = ranked.orderBy("rank").select("file_path", F.col("start").alias("first_character_index"), F.col("end").alias("last_character_index"))
+            return {"question": question, "answer": text, "sources": [r.asDict() for r in spans.collect()]}
 
     def answer_dataset(self, results_path: str, folder: str) -> str:
         """Answers saved search results: their spans are resolved to chunks first."""
         spark = self.search.spark
-        rows = datasets.load_search_results(spark, results_path).persist()
-        questions = rows.select("qid", "question").distinct()
-        ranked = context.resolve(rows.where("rank is not null"), self.search.chunks)
-        nested = datasets.nested_results(questions, ranked).join(self.answers(questions, ranked).withColumnRenamed("qid", "question_id"), "question_id")
-        return datasets.save_results(nested, rows.first()["k"], results_path, folder)
+        with kept(datasets.load_search_results(spark, results_path)) as rows:
+            questions = retrieve.asked(rows.select("qid", "question").distinct())
+            ranked = context.resolve(rows.where("rank is not null"), self.search.chunks)
+            nested = datasets.nested_results(questions, ranked).join(self.answers(questions, ranked).withColumnRenamed("qid", "question_id"), "question_id")
+            return datasets.save_results(nested, rows.first()["k"], results_path, folder)
 
 
 def serve(answers: AnswerService, host: str = "127.0.0.1", port: int = 8000) -> ThreadingHTTPServer:

@@ -5,7 +5,9 @@ import urllib.request
 
 import pytest
 
-from quarry import cli
+from pyspark.sql import functions as F
+
+from quarry import cli, schemas
 from quarry.errors import DatasetError, IndexingError
 from quarry.operators import incremental
 from quarry.plans import indexing, models, service
@@ -52,7 +54,7 @@ def test_incremental_pass_equals_full_pass(spark, tree, tmp_path):
     assert IndexStore(spark, folder).embeddings().count() == 2
     assert indexing.index(spark, str(tree), folder, 400)["modified_files"] == 3  # another chunk size
     assert IndexStore(spark, folder).embeddings() is None
-    (tmp_path / "index" / "chunks").rename(tmp_path / "lost")
+    (tmp_path / "index" / IndexStore(spark, folder).version() / "chunks").rename(tmp_path / "lost")
     assert indexing.index(spark, str(tree), folder, 400)["new_files"] == 3  # an index that can't be read is built anew
 
 
@@ -75,11 +77,47 @@ def test_store_errors(spark, tmp_path):
     twice = spark.createDataFrame([("a", [1.0]), ("a", [1.0])], "chunk_id string, embedding array<float>")
     with pytest.raises(IndexingError, match="repeat"):
         store.save_embeddings(twice)
-    store.write("chunks", spark.range(1))
+    store.add("chunks", spark.range(1))
     with pytest.raises(IndexingError, match="lacks"):
         store.chunks()
 
 
+def test_a_crash_leaves_the_index_as_it_was(spark, tmp_path):
+    chunks = lambda *texts: spark.createDataFrame([(f"c{i}", "f.md", t, 0, len(t), "markdown", i) for i, t in enumerate(texts)], schemas.CHUNKS)
+    store = IndexStore(spark, str(tmp_path))
+    store.save(chunks("one word"))
+    first = store.version()
+    broken = chunks("two").withColumn("text", F.raise_error(F.lit("crash")).cast("string"))
+    with pytest.raises(Exception, match="crash"):
+        store.save(broken)
+    assert store.version() == first and [r.text for r in store.chunks().collect()] == ["one word"]
+    registry = IndexRegistry()
+    assert registry.get(store)[0].first().text == "one word"
+    for text in ("second", "third", "fourth"):
+        store.save(chunks(text))
+    assert registry.get(store)[0].first().text == "fourth" and len(store.generations()) == 2
+    assert {(r.term, r.tf) for r in store.lexical().postings.collect()} == {("fourth", 1)}
+
+
+def test_files_that_cannot_be_read_are_counted(spark, tree, monkeypatch):
+    whole = files.read_tree(spark, str(tree))
+    assert files.skipped(spark, str(tree), whole) == 0
+    with pytest.warns(UserWarning, match="guide.md"):
+        assert files.skipped(spark, str(tree), whole.where("path <> 'guide.md'")) == 1
+
+
+def test_own_retriever_and_blank_questions(spark, tree, tmp_path):
+    folder = str(tmp_path / "index")
+    assert indexing.index(spark, str(tree), folder)["files_skipped"] == 0
+    asked = lambda *texts: spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "qid string, question string")
+    fixed = service.SearchService(spark, folder, retriever=lambda q, k: q.select("qid", F.lit(1).alias("rank"), F.lit("guide.md_0_31").alias("chunk_id")))
+    assert [r.file_path for r in fixed.search(asked("zzz")).collect()] == ["guide.md"]
+    assert service.SearchService(spark, folder).chunks is fixed.chunks  # the process loads an index once
+    for blank in (" ", "\u2003\n", None):
+        with pytest.raises(Exception, match="the question is blank"):
+            fixed.search(asked("cache", blank)).collect()
+
+
 def test_cache(spark, tmp_path):
     cache = QueryCache(spark, str(tmp_path), "bm25", "1")
     asked = spark.createDataFrame([("a", "What is it"), ("b", "none")], "qid string, question string")
@@ -94,6 +132,8 @@ def test_cache(spark, tmp_path):
     assert sorted((r.rank, r.chunk_id) for r in cache.get_or_compute(other, 5, compute).collect()) == [(1, "c1"), (2, "c2")]
     assert calls == [["a", "b"]] and cache.contains(asked, 5).count() == 2 and cache.contains(asked, 6).count() == 0
     assert QueryCache(spark, str(tmp_path), "bm25", "2").contains(asked, 5).count() == 0
+    (tmp_path / "query_cache" / "bad.parquet").write_bytes(b"PAR1 no table")
+    assert cache.get_or_compute(asked, 5, compute).count() in (0, 2) and len(calls) == 2  # what can't be read is worked out anew
     cache.clear()
     assert cache.contains(asked, 5).count() == 0
 
@@ -156,6 +196,10 @@ def test_stream(spark, tree, tmp_path):
     folder = str(tmp_path / "stream")
     watch.watch(spark, str(tree), folder).awaitTermination()
     (tree / "late.md").write_text("late words")
+    (tree / "new").mkdir()
+    (tree / "guide.md").unlink()
+    (tree / "new" / "guide.md").write_text("# Cache\nanother text\n")
     watch.watch(spark, str(tree), folder).awaitTermination()
-    assert {r.file_path for r in spark.read.parquet(f"{folder}/chunks").collect()} == {"guide.md", "src/tool.py", "late.md"}
-    assert spark.read.parquet(f"{folder}/terms").where("term = 'late'").count() == 1
+    chunks, postings = watch.latest(spark, folder)
+    assert [r.file_path for r in chunks.orderBy("ordinal").collect()] == ["guide.md", "late.md", "new/guide.md", "src/tool.py"]
+    assert chunks.select("ordinal").distinct().count() == 4 and postings.where("term = 'late'").count() == 1
