@@ -1,38 +1,7 @@
-"""The corpus pipeline: language ID, line dedup, near-dedup, mixing and tokenising, each over all that
-the stage before has kept. Between stages the documents are Parquet files in the shared folder."""
+"""The corpus pipeline of the training-data operators; quarry/llm/pipeline.py holds it."""
 
 from __future__ import annotations
 
-from uuid import uuid4
+from quarry.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from pyspark.sql import DataFrame, SparkSession
-
-from quarry.llm import common
-from quarry.llm.langid import language_stage
-from quarry.llm.lines import line_stage
-from quarry.llm.mixing import mixing_stage
-from quarry.llm.neardup import near_dedup_stage
-from quarry.llm.pieces import pieces_stage
-
-STAGES = [
-    ("language_id", language_stage),
-    ("line_dedup", line_stage),
-    ("near_dedup", near_dedup_stage),
-    ("mixing", mixing_stage),
-    ("sentencepiece", pieces_stage),
-]
-
-#: Fitted models and automata aren't SQL; tests hold each stage against brute force instead.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir."""
-    docs = common.read(spark, sf_dir, "documents")
-    folder = f"{common.checkpoint_dir(spark).rstrip('/')}/pipeline-{uuid4().hex}"
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs.write.parquet(f"{folder}/{i}-{name}")
-            docs = spark.read.parquet(f"{folder}/{i}-{name}")
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
