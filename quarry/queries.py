@@ -12,7 +12,6 @@ import tempfile
 from collections.abc import Callable
 from uuid import uuid4
 
-from pyspark.ml.feature import NGram
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,8 +20,8 @@ from quarry.operators import chunking, context, evaluate, incremental, lexical,
 from quarry.sources import datasets, files
 from quarry.sources.store import IndexStore
 
-#: Short passages that ground truth may be searched for directly.
-MOST_SHORT = 1_000
+#: Words of a passage that find its documents, and short passages that may be searched for directly.
+RAREST, MOST_SHORT = 3, 1_000
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -74,21 +73,25 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def expected(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(item_id, doc_id, file_path, start, end): where a passage first stands in a document.
 
-    A passage of seven words or more brings its second to sixth word into the document as they are, so these five
-    find the documents by an equal key. Shorter passages bring no word that is sure to be whole; they are
-    searched for directly, which takes them as a side of checked size.
+    A passage brings all its words but the first and the last into the document as they are, so the documents that hold
+    the ``RAREST`` of these are found by equal words, and only they are searched for the passage. Passages of one
+    or two words have no such word; they are searched for directly, as a side of checked size.
     """
     items = _read(spark, sf_dir, "benchmark").where("text is not null").withColumn("words", F.split("text", " ")).select("item_id", F.col("text").alias("passage"), "words")
     docs = _read(spark, sf_dir, "documents").select("doc_id", _path().alias("file_path"), "text")
-    keyed = items.where(F.size("words") >= 7).select("item_id", "passage", F.array_join(F.slice("words", 2, 5), " ").alias("key"))
-    words = docs.where("text is not null").select("doc_id", F.split("text", " ").alias("words"))
-    grams = NGram(n=5, inputCol="words", outputCol="grams").transform(words).select("doc_id", F.explode("grams").alias("key"))
-    found = grams.join(lexical.bounded(keyed), "key").select("doc_id", "item_id", "passage").distinct()
-    hits = docs.join(lexical.bounded(found), "doc_id")
-    short = items.where(F.size("words") < 7).select("item_id", "passage")
+    words = docs.select("doc_id", F.explode(F.split("text", " ")).alias("word"))
+    inner = items.select("item_id", F.explode(F.array_distinct(F.slice("words", 2, F.greatest(F.size("words") - 2, F.lit(0))))).alias("word"))
+    common = words.join(lexical.bounded(inner.select("word").distinct()), "word", "left_semi").groupBy("word").agg(F.count("*").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("item_id").orderBy("n", "word"))
+    rarest = inner.join(common, "word", "left").withColumn("n", F.coalesce("n", F.lit(0))).withColumn("rank", rank).where(F.col("rank") <= RAREST)
+    needed = Window.partitionBy("item_id")
+    rarest = rarest.select("item_id", "word", F.count("*").over(needed).alias("needed"), F.min("n").over(needed).alias("least")).where("least > 0").persist()
+    found = words.join(lexical.bounded(rarest.drop("least")), "word").groupBy("doc_id", "item_id", "needed").agg(F.count_distinct("word").alias("held")).where("held = needed")
+    hits = docs.join(lexical.bounded(found.select("doc_id", "item_id").join(items.select("item_id", "passage"), "item_id")), "doc_id").select("item_id", "passage", *docs.columns)
+    short = items.where(F.size("words") < 3).select("item_id", "passage")
     n = short.limit(MOST_SHORT + 1).count()
     if n > MOST_SHORT:
-        raise ValueError(f"more than {MOST_SHORT} passages of less than seven words")
+        raise ValueError(f"more than {MOST_SHORT} passages of one or two words")
     if n:
         hits = hits.unionByName(docs.join(F.broadcast(short), F.col("text").contains(F.col("passage"))))
     start = F.expr("instr(text, passage) - 1")
