@@ -11,6 +11,8 @@ NO_RESULTS = "I could not find relevant information in the retrieved documents."
 NO_CONTEXT = "I could not find enough relevant information in the retrieved sources to answer the question."
 # End of the fixed values.
 
+RULES = "Answer from the context alone, in a few sentences, and name the sources you used. Say so if the context is not enough."
+
 
 def resolve(spans: DataFrame, chunks: DataFrame) -> DataFrame:
     """spans (file_path, start, end, ...) with id, text and kind of the chunk that is exactly there; none is an error."""
@@ -37,8 +39,7 @@ def build_context(ranked: DataFrame, most: int = MAX_CHARACTERS) -> DataFrame:
 
 
 def prompt(question: Column, context: Column) -> Column:
-    rules = "Answer from the context alone, in a few sentences, and name the sources you used. Say so if the context is not enough."
-    return F.concat(F.lit(f"{rules}\n\n# Context\n\n"), context, F.lit("\n\n# Question\n\n"), question, F.lit("\n\n# Answer\n\n"))
+    return F.concat(F.lit(f"{RULES}\n\n# Context\n\n"), context, F.lit("\n\n# Question\n\n"), question, F.lit("\n\n# Answer\n\n"))
 
 
 def answer_messages(questions: DataFrame, contexts: DataFrame) -> DataFrame:

@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 
 from quarry.functions import ranking, text
 from quarry.operators import chunking, context, evaluate, incremental, lexical, retrieve
+from quarry.plans import indexing, service
 from quarry.sources import datasets, files
+from quarry.sources.cache import QueryCache
 from quarry.sources.store import IndexStore
 
 #: Words of a passage that find its documents, and short passages that may be searched for directly.
@@ -348,18 +350,39 @@ def chunk_markdown(spark, sf_dir):
     return _digested(chunking.chunk_files(_as_files(spark, sf_dir, "markdown").drop("chunker")))
 
 
-def _fixture(spark, path: str, content: str, size: int) -> DataFrame:
-    return chunking.chunk_files(spark.createDataFrame([(path, content)], "file_path string, content string"), size).select("id", "start", "end", "kind")
+SECTIONS = "sections AS (SELECT doc_id, source, '# ' || replace(text, chr(10), chr(10) || '# ') AS text FROM documents)"
+SECTION_SPANS = f"{SECTIONS}, {MARKDOWN_SPANS.replace('documents', 'sections').replace('2000', '300')}"
 
 
-@query("""SELECT * FROM (VALUES ('a.py_0_9', 0, 9, 'python_statement'), ('a.py_9_12', 9, 12, 'python_context'), ('a.py_12_38', 12, 38, 'python_function'), ('a.py_40_58', 40, 58, 'python_class')) t(id, start, "end", kind)""")
-def chunk_python_fixture(spark, sf_dir):
-    return _fixture(spark, "a.py", "import os\n\n@dec\ndef f(x):\n    return x\n\nclass A:\n    y = 1\n", 30)
+@query(f"WITH RECURSIVE {SECTION_SPANS} {CAST_SPANS.replace('documents', 'sections')}")
+def chunk_markdown_sections(spark, sf_dir):
+    """Documents with each line a heading, cut into sections of at most 300 characters."""
+    made = F.concat(F.lit("# "), F.replace("content", F.lit("\n"), F.lit("\n# ")))
+    return _digested(chunking.chunk_files(_as_files(spark, sf_dir, "markdown").withColumn("content", made).drop("chunker"), 300))
 
 
-@query("""SELECT * FROM (VALUES ('a.md_0_9', 0, 9, 'markdown'), ('a.md_9_19', 9, 19, 'markdown')) t(id, start, "end", kind)""")
-def chunk_markdown_fixture(spark, sf_dir):
-    return _fixture(spark, "a.md", "# A\nintro\n# B\nbody\n", 12)
+MODULES = """parts AS (SELECT doc_id, source, i, CASE WHEN i % 2 = 1 THEN 'def f(x):' || chr(10) || '    return "' || length(line) || '"' || chr(10) || chr(10) ELSE 'class A:' || chr(10) || '    y = ' || length(line) || chr(10) || chr(10) END AS part
+    FROM (SELECT doc_id, source, generate_subscripts(l, 1) AS i, unnest(l) AS line FROM (SELECT doc_id, source, string_split(text, chr(10)) AS l FROM documents))),
+placed AS (SELECT *, sum(length(part)) OVER (PARTITION BY doc_id ORDER BY i) AS e, sum(length(part)) OVER (PARTITION BY doc_id) AS total FROM parts)"""
+
+
+@query(f"""WITH {MODULES} SELECT source || '/' || doc_id || '.py' AS file_path, CAST(e - length(part) AS INTEGER) AS start, CAST(e - 2 AS INTEGER) AS "end", CASE WHEN i % 2 = 1 THEN 'python_function' ELSE 'python_class' END AS kind, sha256(rtrim(part, chr(10))) AS text_sha256 FROM placed WHERE total > 40
+UNION ALL SELECT source || '/' || doc_id || '.py', 0, CAST(total AS INTEGER), 'python_module', sha256(part) FROM placed WHERE total <= 40""")
+def chunk_python(spark, sf_dir):
+    """Documents as Python modules: a function or a class for each line, in chunks of at most 40 characters."""
+    size = lambda line: F.length(line).cast("string")
+    function = lambda line: F.concat(F.lit('def f(x):\n    return "'), size(line), F.lit('"\n\n'))
+    klass = lambda line: F.concat(F.lit("class A:\n    y = "), size(line), F.lit("\n\n"))
+    made = F.array_join(F.transform(F.split("text", "\n"), lambda line, i: F.when(i % 2 == 0, function(line)).otherwise(klass(line))), "")
+    path = F.concat(F.col("source"), F.lit("/"), F.col("doc_id"), F.lit(".py"))
+    return _digested(chunking.chunk_files(_read(spark, sf_dir, "documents").select(path.alias("file_path"), made.alias("content")), 40))
+
+
+@query(f"""WITH RECURSIVE {MARKDOWN_SPANS}, f AS (SELECT doc_id, row_number() OVER (ORDER BY string_split({PATH}, '/')) AS n FROM documents WHERE doc_id IN (SELECT doc_id FROM spans))
+SELECT {PATH} AS file_path, CAST(start AS INTEGER) AS start, n * 16777216 + row_number() OVER (PARTITION BY doc_id ORDER BY start) AS ordinal FROM spans JOIN f USING (doc_id) JOIN documents USING (doc_id)""")
+def chunk_ordinals(spark, sf_dir):
+    """Chunks in the order of their paths and places."""
+    return chunking.with_ordinals(chunking.chunk_files(_as_files(spark, sf_dir, "markdown").drop("chunker"))).select("file_path", "start", "ordinal")
 
 
 @query(f"""WITH RECURSIVE {MARKDOWN_SPANS} SELECT kind, count(*) AS chunks, count(DISTINCT doc_id) AS files, CAST(sum("end" - start) AS BIGINT) AS characters, CAST(max("end" - start) AS BIGINT) AS longest FROM spans GROUP BY kind""")
@@ -434,6 +457,61 @@ def integrity_checks(spark, sf_dir):
     return incremental.integrity(documents(spark, sf_dir), _vectors(spark, sf_dir))
 
 
+@query("SELECT doc_id, sha256(text || chr(65533) || chr(10) || chr(10)) AS sha256 FROM documents")
+def decode_content(spark, sf_dir):
+    """Texts as bytes with other line ends and a byte that is no UTF-8, decoded."""
+    docs = _read(spark, sf_dir, "documents")
+    raw = F.concat(F.replace("text", F.lit("\n"), F.lit("\r\n")).cast("binary"), F.unhex(F.lit("FF0D0A0D")))
+    return docs.select("doc_id", F.sha2(text.decoded(raw), 256).alias("sha256"))
+
+
+def _written(spark, sf_dir) -> str:
+    """Every document as a file of its own below a new folder, ``doc_id=N/part-*.txt``."""
+    folder = _folder(spark, "tree")
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    docs.repartition("doc_id").write.partitionBy("doc_id").text(folder)
+    return folder
+
+
+@query("SELECT doc_id, sha256(text || chr(10)) AS hash, sha256(text || chr(10)) AS content_sha256 FROM documents")
+def file_scan(spark, sf_dir):
+    """Files of a tree with their hashes and texts."""
+    number = F.regexp_extract("path", r"^doc_id=(\d+)/part-[^/]*\.txt$", 1).cast("long")
+    return files.read_tree(spark, _written(spark, sf_dir)).select(number.alias("doc_id"), "hash", F.sha2("content", 256).alias("content_sha256"))
+
+
+@query("""WITH n AS (SELECT count(*) AS n, count(*) FILTER (regexp_matches(text, '\S')) AS held FROM documents)
+SELECT 'first' AS pass, held AS files_indexed, 0 AS unchanged, 0 AS modified, n AS new, 0 AS deleted, 0 AS skipped FROM n UNION ALL SELECT 'again', n, n, 0, 0, 0, 0 FROM n UNION ALL SELECT 'other size', held, 0, n, 0, 0, 0 FROM n""")
+def indexing_passes(spark, sf_dir):
+    """Counters of a first pass over the files, of one over the same files, and of one with another chunk size."""
+    tree, folder = _written(spark, sf_dir), _folder(spark, "index")
+    rows = []
+    for name, size in (("first", chunking.MAX_CHUNK), ("again", chunking.MAX_CHUNK), ("other size", 1_500)):
+        c = indexing.index(spark, tree, folder, size)
+        rows.append((name, c["files_indexed"], *(c[f"{s}_files"] for s in ("unchanged", "modified", "new", "deleted")), c["files_skipped"]))
+    return spark.createDataFrame(rows, "pass string, files_indexed long, unchanged long, modified long, new long, deleted long, skipped long")
+
+
+@query(f"""WITH RECURSIVE {MARKDOWN_SPANS}, ids AS (SELECT doc_id, list(source || '/' || doc_id || '.md_' || start || '_' || "end" ORDER BY start) AS l FROM spans JOIN documents USING (doc_id) GROUP BY doc_id)
+SELECT {PATH} AS path, sha256(text) AS hash, 2000 AS max_chunk_size, coalesce(array_to_string(l, ' '), '') AS ids FROM documents LEFT JOIN ids USING (doc_id)""")
+def manifest_roundtrip(spark, sf_dir):
+    """The manifest of a pass, with each file's chunks in order, as stored and read again."""
+    chunks = chunking.with_ordinals(chunking.chunk_files(_as_files(spark, sf_dir, "markdown").drop("chunker")))
+    store = IndexStore(spark, _folder(spark, "index"))
+    store.save(chunks, manifest=incremental.manifest_of(current(spark, sf_dir), chunks, chunking.MAX_CHUNK))
+    return store.manifest().select("path", "hash", "max_chunk_size", F.array_join("chunk_ids", " ").alias("ids"))
+
+
+@query("SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: abs(CAST(x AS DOUBLE)))), 6) AS size FROM embeddings")
+def embeddings_roundtrip(spark, sf_dir):
+    """Embeddings added to a stored index and read again."""
+    store = IndexStore(spark, _folder(spark, "index"))
+    store.save(documents(spark, sf_dir))
+    store.save_embeddings(_vectors(spark, sf_dir))
+    total = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + F.abs(x.cast("double")))
+    return store.embeddings().select(F.col("chunk_id").cast("long").alias("vec_id"), F.round(total, 6).alias("size"))
+
+
 # -- evaluation, context and caches ------------------------------------------------------------------------
 
 
@@ -494,9 +572,22 @@ def build_context(spark, sf_dir):
 
 
 @query(f"""WITH {DOC_TOP}, {CONTEXTS} SELECT item_id, CASE WHEN n > 0 THEN 'prompt' ELSE 'fixed' END AS status,
-CASE WHEN c.qid IS NULL THEN '{context.NO_RESULTS}' WHEN n = 0 THEN '{context.NO_CONTEXT}' END AS answer FROM benchmark LEFT JOIN contexts c ON qid = item_id""")
+CASE WHEN c.qid IS NULL THEN '{context.NO_RESULTS}' WHEN n = 0 THEN '{context.NO_CONTEXT}' END AS answer,
+CASE WHEN n > 0 THEN sha256('{context.RULES}' || chr(10) || chr(10) || '# Context' || chr(10) || chr(10) || context || chr(10) || chr(10) || '# Question' || chr(10) || chr(10) || text || chr(10) || chr(10) || '# Answer' || chr(10) || chr(10)) END AS prompt_sha256
+FROM benchmark LEFT JOIN contexts c ON qid = item_id""")
 def answer_messages(spark, sf_dir):
-    return context.answer_messages(questions(spark, sf_dir), _contexts(spark, sf_dir)).select(F.col("qid").cast("long").alias("item_id"), "status", "answer")
+    found = context.answer_messages(questions(spark, sf_dir), _contexts(spark, sf_dir))
+    return found.select(F.col("qid").cast("long").alias("item_id"), "status", "answer", F.sha2("prompt", 256).alias("prompt_sha256"))
+
+
+@query(f"""WITH {DOC_TOP}, {CONTEXTS}, first AS (SELECT qid, {PATH} AS path FROM best JOIN documents ON doc_id = id WHERE rank = 1)
+SELECT item_id, CASE WHEN c.qid IS NULL THEN '{context.NO_RESULTS}' WHEN n = 0 THEN '{context.NO_CONTEXT}' ELSE 'Source: ' || path END AS answer
+FROM benchmark LEFT JOIN contexts c ON c.qid = item_id LEFT JOIN first f ON f.qid = item_id""")
+def generated_answers(spark, sf_dir):
+    """Answers of the stand-in for a model, which quotes the first line of the context, over a stored index."""
+    search = service.SearchService(spark, _stored(spark, sf_dir).folder)
+    asked = questions(spark, sf_dir)
+    return service.AnswerService(search).answers(asked, search.search(asked)).select(F.col("qid").cast("long").alias("item_id"), "answer")
 
 
 @query(f"""WITH {DOC_TOP} SELECT CAST(item_id AS VARCHAR) AS question_id, rank, {PATH} AS file_path, 0 AS first_character_index, CAST(length(d.text) AS INTEGER) AS last_character_index
@@ -569,3 +660,26 @@ def stored_bm25(spark, sf_dir):
     """Searches the stored index; its postings bring no lengths, which are joined."""
     found = retrieve.bm25(questions(spark, sf_dir), _stored(spark, sf_dir).lexical(), 10)
     return found.select(F.col("qid").cast("long").alias("item_id"), F.col("rank").cast("long").alias("rank"), F.col("chunk_id").cast("long").alias("doc_id"), "score")
+
+
+@query(f"""WITH {DOC_TOP} SELECT qid AS item_id, rank, id AS doc_id, CASE WHEN qid % 2 = 0 THEN 'held' ELSE 'computed' END AS status FROM best""")
+def cached_search(spark, sf_dir):
+    """Questions of even number are asked first, then all of them, of which the cache holds half."""
+    search = service.SearchService(spark, _stored(spark, sf_dir).folder)
+    search.cache, asked = QueryCache(spark, search.store.folder), questions(spark, sf_dir)
+    search.search(asked.where("cast(qid as int) % 2 = 0")).count()
+    held = search.cache.contains(asked, retrieve.DEFAULT_K).select("qid", F.lit("held").alias("status"))
+    held = held.checkpoint() if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else held.persist()
+    held.count()
+    found = search.search(asked).join(held, "qid", "left")
+    return found.select(F.col("qid").cast("long").alias("item_id"), F.col("rank").cast("long").alias("rank"), F.col("chunk_id").cast("long").alias("doc_id"), F.coalesce("status", F.lit("computed")).alias("status"))
+
+
+@query(f"""WITH {DOC_TOP} SELECT CAST(item_id AS VARCHAR) AS qid, b.text AS question, CAST(rank AS INTEGER) AS rank, {PATH} AS file_path, 0 AS start, CAST(length(d.text) AS INTEGER) AS "end", 10 AS k
+FROM best JOIN documents d ON doc_id = id JOIN benchmark b ON item_id = qid""")
+def results_document(spark, sf_dir):
+    """Search results as one JSON document, written and read again."""
+    asked = questions(spark, sf_dir)
+    nested = datasets.nested_results(asked, retrieve.materialised(_bm25(spark, sf_dir), documents(spark, sf_dir)))
+    path = datasets.save_results(nested, 10, "set.json", _folder(spark, "results"))
+    return datasets.load_search_results(spark, path).where("rank is not null").select("qid", "question", "rank", "file_path", "start", "end", "k")
