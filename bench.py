@@ -31,6 +31,7 @@ def main() -> None:
     )
     spark.sparkContext.setLogLevel("ERROR")
     from quarry import queries
+    from quarry.plans.service import SearchService
 
     def run(name: str) -> float:
         began = time.perf_counter()
@@ -42,7 +43,16 @@ def main() -> None:
     times = {name: run(name) for name in HEADLINE}
     docs, asked = (spark.read.parquet(f"{sf_dir}/{t}.parquet").count() for t in ("documents", "benchmark"))
     chunks = queries.QUERIES["chunk_markdown"](spark, sf_dir).count()
-    rates = {"files_per_s": docs / times["chunk_markdown"], "chunks_tokenised_per_s": chunks / times["term_frequency"], "questions_per_s": asked / times["bm25_topk"]}
+    # questions against an index that is stored and loaded, as a service has it
+    store = queries._stored(spark, sf_dir)
+    service = SearchService(spark, store.folder)
+    questions = queries.questions(spark, sf_dir)
+    seconds = []
+    for _ in range(2):  # the first run loads the index
+        began = time.perf_counter()
+        service.search(questions).write.format("noop").mode("overwrite").save()
+        seconds.append(time.perf_counter() - began)
+    rates = {"stored_questions_per_s": asked / seconds[-1], "files_per_s": docs / times["chunk_markdown"], "chunks_tokenised_per_s": chunks / times["term_frequency"], "questions_per_s": asked / times["bm25_topk"]}
     print(json.dumps({"metric": "headline_queries_total", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "sf": os.path.basename(sf_dir.rstrip("/")), "rates": {k: round(v, 1) for k, v in rates.items()}}))
 
 
