@@ -33,6 +33,7 @@ ORDER = 3
 BACKOFF = 0.4
 BATCH_BYTES = 12 << 20
 BUCKET_BYTES = 4 << 20
+LEAST_BYTES = 2 << 20
 #: The n-gram that stands for all words of the corpus.
 _ALL = np.uint64(0x5851F42D4C957F2D)
 
@@ -170,7 +171,8 @@ def lm_scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF) ->
     spark = docs.sparkSession
     common.bounded_arrow(spark)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_batches, buckets = max(1, -(-size // BATCH_BYTES)), max(1, -(-size // BUCKET_BYTES))
+    # a small corpus is dealt into smaller batches, so that all tasks have some
+    n_batches, buckets = max(1, -(-size // BATCH_BYTES), min(common.partitions(spark), -(-size // LEAST_BYTES))), max(1, -(-size // BUCKET_BYTES))
     batches = _packed_texts(docs, n_batches).repartition(common.partitions(spark), "batch")
     totals = count_and_join(batches, buckets, order)
 
