@@ -234,14 +234,11 @@ LETTERS = np.zeros(256, bool)
 LETTERS[0x80:] = LETTERS[ord("A") : ord("Z") + 1] = LETTERS[ord("a") : ord("z") + 1] = True
 
 
-def words(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray = ~_SPACE) -> tuple[np.ndarray, np.ndarray]:
-    """Fingerprints of the words of lower-cased (A-Z) texts, and the n+1 offsets of each text's words.
-
-    Words are runs of bytes of one kind, else of bytes other than the six ASCII white spaces; a
-    text's end ends a word.
-    """
+def runs(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray = ~_SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of bytes of one kind, else of bytes other than the six ASCII white spaces; a
+    text's end ends a run."""
     if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     inside = kind[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[1:-1] = inside[1:] != inside[:-1]
@@ -254,8 +251,15 @@ def words(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray = ~_SPACE) ->
     if len(cut):
         cut = np.unique(cut)
         starts, ends = np.sort(np.concatenate([starts, cut])), np.sort(np.concatenate([ends, cut]))
-    prints = Fingerprints(_LOWER[data]).of(starts, ends)
-    return prints, np.searchsorted(starts, offsets, side="left")
+    return starts, ends
+
+
+def words(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray = ~_SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints of the words, which are runs(), of lower-cased (A-Z) texts, and the n+1 offsets of each text's words."""
+    if not len(data):
+        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+    starts, ends = runs(data, offsets, kind)
+    return Fingerprints(_LOWER[data]).of(starts, ends), np.searchsorted(starts, offsets, side="left")
 
 
 def sliced_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -34,7 +34,8 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_TERM = re.compile(r"[A-Za-z\u0080-\U0010ffff]{3,}")
+#: The least number of characters of a term.
+LEAST_TERM = 3
 
 
 def _emails(text: str) -> Iterable[tuple[int, int]]:
@@ -91,10 +92,22 @@ def _flagged(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return first[1:] > first[:-1]
 
 
-def _term_print(term: str) -> int:
-    raw = term.encode()
-    prints, _ = common.words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), common.LETTERS)
-    return int(prints.view(np.int64)[0])
+def _words(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, fingerprint) of a text's words, runs of ASCII letters and of characters beyond ASCII; code points."""
+    raw = np.frombuffer(text.encode(), np.uint8)
+    bounds = np.array([0, len(raw)])
+    starts, ends = common.runs(raw, bounds, common.LETTERS)
+    prints, _ = common.words(raw, bounds, common.LETTERS)
+    place = np.cumsum((raw & 0xC0) != 0x80)
+    return place[starts] - 1, place[ends - 1], prints.view(np.int64)
+
+
+def _free(starts: np.ndarray, ends: np.ndarray, spans: list[tuple[int, int, int]]) -> np.ndarray:
+    """Which words are terms: of LEAST_TERM characters at least, and apart from all spans."""
+    free = ends - starts >= LEAST_TERM
+    for a, _, b in spans:
+        free[np.searchsorted(ends, a, side="right") : np.searchsorted(starts, b, side="left")] = False
+    return free
 
 
 _LINE = pa.struct([("entities", pa.list_(pa.int64())), ("terms", pa.list_(pa.int64()))])
@@ -115,16 +128,16 @@ def entity_docs(docs: DataFrame) -> DataFrame:
                     continue
                 for span in spans:
                     lines[text.rfind("\n", 0, span[0]) + 1].append(span)
-                rows = []
+                starts, ends, prints = _words(text)
+                terms, rows = np.where(_free(starts, ends, spans), prints, 0), []
                 for start, here in lines.items():
                     end = text.find("\n", start)
-                    end = max(len(text) if end < 0 else end, max(s[2] for s in here))
-                    terms = {_term_print(m[0]) for m in _TERM.finditer(text, start, end) if not any(a <= m.start() < b for a, _, b in here)}
-                    rows.append({"entities": list({entity_of(text, *s) for s in here}), "terms": list(terms)})
-                prints, _ = common.words(data[at[i] : at[i + 1]], np.array([0, at[i + 1] - at[i]]), common.LETTERS)
+                    end = len(text) if end < 0 else end
+                    own = terms[np.searchsorted(starts, start) : np.searchsorted(starts, end)]
+                    rows.append({"entities": list({entity_of(text, *s) for s in here}), "terms": np.unique(own[own != 0]).tolist()})
                 held.append(i)
                 entities.append(list({e for row in rows for e in row["entities"]}))
-                words.append(np.unique(prints.view(np.int64)))
+                words.append(np.unique(prints))
                 found.append(rows)
             own = batch.take(pa.array(held, pa.int64()))
             yield pa.RecordBatch.from_arrays(
@@ -193,11 +206,11 @@ def sanitise(docs: DataFrame, disclosure: float = DISCLOSURE) -> DataFrame:
         for batch in batches:
             bases, spans, texts = [], [], []
             for text, terms in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                base, terms, more = base_spans(text), set(terms or ()), []
+                base, more = base_spans(text), []
                 if terms:
-                    for m in _TERM.finditer(text):
-                        if _term_print(m[0]) in terms and not any(a < m.end() and m.start() < b for a, _, b in base):
-                            more.append((m.start(), len(KINDS), m.end()))
+                    starts, ends, prints = _words(text)
+                    hit = np.isin(prints, np.array(terms, np.int64)) & _free(starts, ends, base)
+                    more = [(a, len(KINDS), b) for a, b in zip(starts[hit].tolist(), ends[hit].tolist())]
                 names = (*KINDS, "term")
                 every = sorted(base + more)
                 bases.append([f"{names[k]}:{a}:{b}" for a, k, b in base])
