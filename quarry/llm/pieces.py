@@ -106,26 +106,30 @@ class Model:
     def best(self, text: str) -> list[int]:
         """Ids of the best segmentation of normalised text."""
         n = len(text)
-        score, back, piece = [0.0] + [None] * n, [0] * (n + 1), [self.unk] * (n + 1)
-        done = 0
+        score, back, piece, single = [0.0] + [None] * n, [0] * (n + 1), [self.unk] * (n + 1), bytearray(n + 1)
+        done = 0  # positions up to here have their best score
+
+        def close(until: int) -> None:
+            """Where no piece is the last character alone, that may be unknown; pieces win ties."""
+            for at in range(done + 1, until + 1):
+                if not single[at]:
+                    alone = score[at - 1] + self.unk_score
+                    if score[at] is None or alone > score[at]:
+                        score[at], back[at], piece[at] = alone, at - 1, self.unk
+
         for last, (length, own, i) in self.automaton.iter(text):
             end = last + 1
-            while done < end - 1:  # positions at which no piece ends
-                done += 1
-                if score[done] is None:
-                    score[done], back[done] = score[done - 1] + self.unk_score, done - 1
+            if done < end - 1:
+                close(end - 1)
+                done = end - 1
             reached = score[end - length] + own
             held = score[end]
-            if held is None:
-                # one unknown character before this end; pieces, seen longest first, win ties
-                score[end], back[end], piece[end] = reached, end - length, i
-            elif reached > held:
+            if held is None or reached > held:  # pieces are seen longest first, which win ties
                 score[end], back[end], piece[end] = reached, end - length, i
+            if length == 1:
+                single[end] = 1
         ids: list[int] = []
-        while done < n:
-            done += 1
-            if score[done] is None:
-                score[done], back[done] = score[done - 1] + self.unk_score, done - 1
+        close(n)
         at = n
         while at:
             start = back[at]
