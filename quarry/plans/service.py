@@ -36,7 +36,7 @@ class SearchService:
 
     def __init__(
         self, spark: SparkSession, folder: str, mode: str = "bm25", embedder: Callable[[], models.Embedder] = models.HashingEmbedder, registry: IndexRegistry | None = None,
-        cache: QueryCache | None = None, retriever: Callable[[DataFrame, int], DataFrame] | None = None,
+        cache: QueryCache | None = None, retriever: models.Retriever | None = None,
     ):
         if mode not in MODES:
             raise ValueError(f"mode must be one of {', '.join(MODES)}")
@@ -89,7 +89,8 @@ class AnswerService:
         self.search, self.generator = search, generator
 
     def answers(self, questions: DataFrame, ranked: DataFrame) -> DataFrame:
-        """(qid, answer) from ranked chunks with text."""
+        """(qid, answer) from ranked chunks with text; a blank question is an error."""
+        questions = retrieve.asked(questions)
         planned = context.answer_messages(questions, context.build_context(ranked))
         made = models.generate(planned.where("status = 'prompt'"), self.generator)
         return planned.where("status = 'fixed'").select("qid", "answer").unionByName(made)
