@@ -16,6 +16,11 @@ class LexicalIndex:
     term_stats: DataFrame  # term, df, idf
     doc_stats: DataFrame  # chunk_id, ordinal, dl
     corpus_stats: DataFrame  # n_docs, avgdl: one row
+    held: tuple[DataFrame, ...] = ()  # what is kept in memory for it
+
+    def release(self) -> None:
+        for table in self.held:
+            table.unpersist()
 
     def numbers(self) -> tuple[int, float]:
         row = self.corpus_stats.first()
@@ -57,7 +62,8 @@ def build(chunks: DataFrame, postings: DataFrame | None = None) -> LexicalIndex:
 
 def build_for(chunks: DataFrame, terms: DataFrame) -> LexicalIndex:
     """As build(), but with the postings of the given terms (a column ``term``) only. One pass over the text: tokens of
-    other terms are counted together, so each chunk sends one row for these and one for each term that it holds."""
+    other terms are counted together, so each chunk sends one row for these and one for each term that it holds. These
+    counts are kept in memory until release()."""
     wanted = terms.select("term").distinct().withColumn("held", F.col("term"))
     tokens = token_rows(chunks).join(bounded(wanted), "term", "left")
     counts = tokens.groupBy("ordinal", "chunk_id", "held").agg(F.count("*").alias("tf")).persist()
@@ -66,7 +72,8 @@ def build_for(chunks: DataFrame, terms: DataFrame) -> LexicalIndex:
     stats = chunks.sparkSession.range(1).select(F.lit(n_docs).cast("long").alias("n_docs"), F.lit(total / n_docs if n_docs else 0.0).alias("avgdl"))
     whole = Window.partitionBy("ordinal")  # a chunk's rows: at most one more than there are terms
     postings = counts.withColumn("dl", F.sum("tf").over(whole)).where("held is not null").select("ordinal", "chunk_id", "dl", F.col("held").alias("term"), "tf").persist()
-    return LexicalIndex(postings, document_frequencies(postings, n_docs).persist(), document_lengths(chunks, counts), stats)
+    known = document_frequencies(postings, n_docs).persist()
+    return LexicalIndex(postings, known, document_lengths(chunks, counts), stats, (counts, postings, known))
 
 
 #: A table of at most so many narrow rows may be broadcast.

@@ -217,7 +217,11 @@ def _lexical(spark, sf_dir, chunks: DataFrame | None = None) -> tuple[DataFrame,
 
 def _bm25(spark, sf_dir, k: int = 10, b: float = ranking.B, chunks: DataFrame | None = None) -> DataFrame:
     asked, index = _lexical(spark, sf_dir, chunks)
-    return retrieve.top(retrieve.bm25_scores(asked, index, b=b), k, "qpos", "ordinal").persist()  # k rows a question
+    found = retrieve.top(retrieve.bm25_scores(asked, index, b=b), k, "qpos", "ordinal").persist()  # k rows a question
+    found.count()
+    index.release()
+    asked.unpersist()
+    return found
 
 
 @query(f"WITH {DOC_TOKENS}, {ITEM_TOKENS}, {DOC_BM25} SELECT qid AS item_id, id AS doc_id, score FROM scores")

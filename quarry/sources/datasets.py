@@ -15,7 +15,7 @@ from quarry.errors import DatasetError
 
 def _read(spark: SparkSession, path: str, schema: StructType, field: str) -> DataFrame:
     try:
-        raw = spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path).persist()
+        raw = spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
         bad = raw.where(F.col("_corrupt").isNotNull() | F.col(field).isNull()).limit(1).count()
         rows = raw.limit(1).count()
     except Exception as e:
