@@ -484,7 +484,7 @@ def file_scan(spark, sf_dir):
     return files.read_tree(spark, _written(spark, sf_dir)).select(number.alias("doc_id"), "hash", F.sha2("content", 256).alias("content_sha256"))
 
 
-@query("""WITH n AS (SELECT count(*) AS n, count(*) FILTER (regexp_matches(text, '\S')) AS held FROM documents)
+@query("""WITH n AS (SELECT count(*) AS n, count(*) FILTER (regexp_matches(text, '\\S')) AS held FROM documents)
 SELECT 'first' AS pass, held AS files_indexed, 0 AS unchanged, 0 AS modified, n AS new, 0 AS deleted, 0 AS skipped FROM n UNION ALL SELECT 'again', n, n, 0, 0, 0, 0 FROM n UNION ALL SELECT 'other size', held, 0, n, 0, 0, 0 FROM n""")
 def indexing_passes(spark, sf_dir):
     """Counters of a first pass over the files, of one over the same files, and of one with another chunk size."""
