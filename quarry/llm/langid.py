@@ -194,5 +194,6 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Documents whose text is in a language; all columns as they came."""
     model = fit(docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), "text"))
     rows = common.keyed(docs, docs.columns)
-    rejected = common.pinned(identify(document_rows(rows), model).where(~F.col("accepted")).select("_q_key"))
+    found = common.pinned(identify(document_rows(rows), model).select("_q_key", "accepted"))  # else the condition is worked out at each step below
+    rejected = found.where(~F.col("accepted")).select("_q_key")
     return rows.join(common.small(rejected), "_q_key", "left_anti").select(*docs.columns)
