@@ -106,30 +106,29 @@ class Model:
     def best(self, text: str) -> list[int]:
         """Ids of the best segmentation of normalised text."""
         n = len(text)
-        score, back, piece, single = [0.0] + [None] * n, [0] * (n + 1), [self.unk] * (n + 1), bytearray(n + 1)
-        done = 0  # positions up to here have their best score
+        score, back, piece = [0.0] + [None] * n, [0] * (n + 1), [self.unk] * (n + 1)
+        current, shortest = 0, 1  # the position whose pieces are being seen, longest first, and the last one's length
 
-        def close(until: int) -> None:
-            """Where no piece is the last character alone, that may be unknown; pieces win ties."""
-            for at in range(done + 1, until + 1):
-                if not single[at]:
-                    alone = score[at - 1] + self.unk_score
-                    if score[at] is None or alone > score[at]:
-                        score[at], back[at], piece[at] = alone, at - 1, self.unk
+        def settle(first: int, last: int) -> None:
+            """Positions whose character is no piece by itself: it may be unknown; pieces win ties."""
+            for at in range(first, last + 1):
+                reached = score[at - 1] + self.unk_score
+                if score[at] is None or reached > score[at]:
+                    score[at], back[at], piece[at] = reached, at - 1, self.unk
 
         for last, (length, own, i) in self.automaton.iter(text):
             end = last + 1
-            if done < end - 1:
-                close(end - 1)
-                done = end - 1
+            if end != current:
+                if shortest != 1 or last != current:
+                    settle(current + (shortest == 1), last)
+                current = end
             reached = score[end - length] + own
             held = score[end]
-            if held is None or reached > held:  # pieces are seen longest first, which win ties
+            if held is None or reached > held:  # longer pieces win ties
                 score[end], back[end], piece[end] = reached, end - length, i
-            if length == 1:
-                single[end] = 1
+            shortest = length
+        settle(current + (shortest == 1), n)
         ids: list[int] = []
-        close(n)
         at = n
         while at:
             start = back[at]
