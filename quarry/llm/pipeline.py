@@ -1,6 +1,7 @@
 """The corpus pipeline: language ID, line dedup, near-dedup, mixing and tokenising, each over all that
 the stage before has kept. Between stages the documents are Parquet files in the shared folder; a stage's
-input goes once its output is written, but for the last one, which the result is read from.
+input goes once its output is written, but for the last one, which the result is read from and which goes when the
+driver ends.
 
 Odd input is that of the stages: null and empty texts are in no language and go; rows that repeat an id are
 documents of their own; null ids stay; an empty table gives an empty result with the same columns; other
@@ -32,9 +33,13 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def _delete(spark: SparkSession, folder: str) -> None:
+def _delete(spark: SparkSession, folder: str, at_end: bool = False) -> None:
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if at_end:
+        fs.deleteOnExit(path)
+    else:
+        fs.delete(path, True)
 
 
 def run_on(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,6 +52,8 @@ def run_on(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
             docs = spark.read.parquet(now)
             if before:
                 _delete(spark, before)
+            else:
+                _delete(spark, folder, at_end=True)
             before = now
     return docs
 
