@@ -8,6 +8,7 @@ indexed, those of low quality have changed since, benchmark passages were files
 from __future__ import annotations
 
 import functools
+import re
 import tempfile
 from collections.abc import Callable
 from uuid import uuid4
@@ -473,7 +474,7 @@ def _written(spark, sf_dir) -> str:
     """Every document as a file of its own below a new folder, ``doc_id=N/part-*.txt``."""
     folder = _folder(spark, "tree")
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
-    docs.repartition("doc_id").write.partitionBy("doc_id").text(folder)
+    docs.repartition("doc_id").write.mode("append").partitionBy("doc_id").text(folder)
     return folder
 
 
@@ -625,11 +626,17 @@ def cache_aside(spark, sf_dir):
 
 
 def _folder(spark, name: str) -> str:
-    """A new folder in the cluster's shared checkpoint folder, or in a temporary one of a local session."""
+    """A new folder in the cluster's shared checkpoint folder, or in a temporary one of a local session; it goes when the
+    driver ends."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared and not spark.sparkContext.master.startswith("local["):
+    if not shared and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
-    return f"{(shared or tempfile.mkdtemp()).rstrip('/')}/{name}-{uuid4().hex}"
+    folder = f"{(shared or tempfile.gettempdir()).rstrip('/')}/{name}-{uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path)
+    fs.deleteOnExit(path)
+    return folder
 
 
 def _stored(spark, sf_dir) -> IndexStore:
