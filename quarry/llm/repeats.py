@@ -141,27 +141,24 @@ def _walk_pairs(batches):
 
 def _surroundings(batches):
     """(rank, key, lo, n, bytes) of each contested row of a document; window by window if its rank is hot."""
+    names = ["rank", "key", "lo", "n", "piece"]
     for batch in batches:
-        keys, lists = batch.column(0).to_pylist(), batch.column(3)
+        keys, lists = batch.column(0).to_numpy(), batch.column(3)
         data, at = common.text_bytes(batch.column(2))
-        raw = data.tobytes()
-        for i, key in enumerate(keys):
-            rows, text = lists[i].as_py(), raw[at[i] : at[i + 1]]
-            out: list[tuple] = []
-            for r in rows:
-                lo, n = r["lo"], r["n"]
-                piece = text[lo : lo + n + LENGTH - 1]
-                if not r["hot"]:
-                    out.append((r["rank"], lo, n, piece))
-                    continue
-                own = common.Fingerprints(np.frombuffer(piece, np.uint8)).windows(LENGTH)
-                own = common.mix(own ^ np.array([r["rank"]], np.int64).view(np.uint64))
-                out += [(x, lo + j, 1, None) for j, x in enumerate(own.view(np.int64).tolist())]
-            for j in range(0, len(out), 20_000):
-                rank, lo, n, piece = zip(*out[j : j + 20_000])
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(rank, pa.int64()), pa.array([key] * len(rank), pa.int64()), pa.array(lo, pa.int64()), pa.array(n, pa.int64()), pa.array(piece, pa.binary())
-                ], names=["rank", "key", "lo", "n", "piece"])
+        bounds, flat = lists.offsets.to_numpy(), lists.flatten()
+        of = common.spread(bounds)
+        rank, lo, n, hot = (flat.field(x).to_numpy(zero_copy_only=False) for x in ("rank", "lo", "n", "hot"))
+        start, raw = at[:-1][of] + lo, data.tobytes()
+        cold = np.flatnonzero(~hot)
+        for i in range(0, len(cold), 20_000):
+            k = cold[i : i + 20_000]
+            pieces = [raw[a:b] for a, b in zip(start[k].tolist(), (start[k] + n[k] + LENGTH - 1).tolist())]
+            yield pa.RecordBatch.from_arrays([*(pa.array(x[k]) for x in (rank, keys[of], lo, n)), pa.array(pieces, pa.binary())], names=names)
+        for i in np.flatnonzero(hot).tolist():
+            own = common.Fingerprints(data[start[i] : start[i] + n[i] + LENGTH - 1]).windows(LENGTH)
+            own = common.mix(own ^ rank[i : i + 1].view(np.uint64))
+            columns = [common.longs(own), pa.array(np.full(len(own), keys[of[i]])), pa.array(lo[i] + np.arange(len(own))), pa.array(np.ones(len(own), np.int64))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.nulls(len(own), pa.binary())], names=names)
 
 
 def _walk_windows(batches):
