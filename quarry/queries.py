@@ -216,15 +216,21 @@ def _lexical(spark, sf_dir, chunks: DataFrame | None = None) -> tuple[DataFrame,
     return asked, lexical.build_for(documents(spark, sf_dir) if chunks is None else chunks, asked)
 
 
-def _bm25(spark, sf_dir, k: int = 10, b: float = ranking.B, chunks: DataFrame | None = None) -> DataFrame:
+def _rankings(spark, sf_dir, k: int, chunks: DataFrame | None, *bs: float) -> list[DataFrame]:
+    """A ranking for each b, all from one pass over the text."""
     asked, index = _lexical(spark, sf_dir, chunks)
-    found = retrieve.top(retrieve.bm25_scores(asked, index, b=b), k, "qpos", "ordinal").persist()  # k rows a question
-    found.count()
+    found = [retrieve.top(retrieve.bm25_scores(asked, index, b=b), k, "qpos", "ordinal").persist() for b in bs]  # k rows a question
+    for kept in found:
+        kept.count()
     index.release()
     asked.unpersist()
     return found
 
 
+def _bm25(spark, sf_dir, k: int = 10, chunks: DataFrame | None = None) -> DataFrame:
+    return _rankings(spark, sf_dir, k, chunks, ranking.B)[0]
+
+
 @query(f"WITH {DOC_TOKENS}, {ITEM_TOKENS}, {DOC_BM25} SELECT qid AS item_id, id AS doc_id, score FROM scores")
 def bm25_scores(spark, sf_dir):
     asked, index = _lexical(spark, sf_dir)
@@ -290,7 +296,7 @@ s AS (SELECT qid, id, round(sum(1.0::DOUBLE / (60 + coalesce(r1, r2))), 9) AS sc
 SELECT qid AS item_id, rank, id AS doc_id, score FROM fused""")
 def rrf_fusion(spark, sf_dir):
     """Fuses two lexical rankings, with and without regard to length."""
-    found = retrieve.fuse(_bm25(spark, sf_dir, 40), _bm25(spark, sf_dir, 40, b=0.0), 10)
+    found = retrieve.fuse(*_rankings(spark, sf_dir, 40, None, ranking.B, 0.0), 10)
     return found.select(F.col("qid").cast("long").alias("item_id"), F.col("rank").cast("long").alias("rank"), F.col("chunk_id").cast("long").alias("doc_id"), "score")
 
 
