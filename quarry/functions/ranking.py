@@ -24,9 +24,13 @@ def idf(n_docs: Column, df: Column) -> Column:
     return _sound(value, (n_docs > 0) & (df > 0) & (df <= n_docs), "idf: document counts out of range")
 
 
-def bm25(tf: Column, dl: Column, avgdl: Column, idf_: Column, k1: float = K1, b: float = B) -> Column:
+def checked(k1: float, b: float) -> None:
     if k1 < 0 or not 0 <= b <= 1:
         raise ValueError("k1 must not be negative, b be in 0..1")
+
+
+def bm25(tf: Column, dl: Column, avgdl: Column, idf_: Column, k1: float = K1, b: float = B) -> Column:
+    checked(k1, b)
     value = idf_ * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))
     return _sound(value, (tf > 0) & (dl >= 0) & (avgdl > 0), "bm25: statistics out of range")
 

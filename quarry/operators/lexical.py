@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import ranking, text
+from quarry.operators import tokens
 
 
 @dataclass(frozen=True)
@@ -17,6 +18,7 @@ class LexicalIndex:
     doc_stats: DataFrame  # chunk_id, ordinal, dl
     corpus_stats: DataFrame  # n_docs, avgdl: one row
     held: tuple[DataFrame, ...] = ()  # what is kept in memory for it
+    packed: tuple[DataFrame, list[str]] | None = None  # the same postings, a row for each chunk, with the terms by number
 
     def release(self) -> None:
         for table in self.held:
@@ -55,18 +57,49 @@ def build(chunks: DataFrame, postings: DataFrame | None = None) -> LexicalIndex:
     """The index of chunks (id, ordinal, text), everything derived from the postings, which may be given where they
     are stored already. The number of chunks goes into the idf as a constant."""
     if postings is None:
-        postings = term_frequencies(token_rows(chunks))
-    doc_stats = document_lengths(chunks, postings)
+        rows = tokens.packed(chunks)
+        postings, doc_stats = tokens.unpacked(rows, "chunk_id", "ordinal"), rows.select("chunk_id", "ordinal", "dl")
+    else:
+        doc_stats = document_lengths(chunks, postings)
     return LexicalIndex(postings, document_frequencies(postings, chunks.count()), doc_stats, corpus(doc_stats))
 
 
 def build_for(chunks: DataFrame, terms: DataFrame) -> LexicalIndex:
-    """As build(), but with the postings of the given terms (a column ``term``) only. One pass over the text: tokens of
-    other terms are counted together, so each chunk sends one row for these and one for each term that it holds. These
-    counts are kept in memory until release()."""
-    wanted = terms.select("term").distinct().withColumn("held", F.col("term"))
-    tokens = token_rows(chunks).join(bounded(wanted), "term", "left")
-    counts = tokens.groupBy("ordinal", "chunk_id", "held").agg(F.count("*").alias("tf")).persist()
+    """As build(), but with the postings of the given terms (a column ``term``) only. One pass over the text: each chunk
+    gives one row, of its length and its counts of these terms, without a shuffle. These rows are kept in memory until
+    release(). More terms than a task may hold are joined instead."""
+    wanted = terms.select("term").distinct()
+    vocabulary = [r[0] for r in wanted.limit(MOST_BROADCAST + 1).collect()]
+    if len(vocabulary) > MOST_BROADCAST:
+        return _build_for_many(chunks, wanted)
+    rows = tokens.packed(chunks, vocabulary).persist()
+    stats = corpus(rows).persist()
+    n_docs = stats.first()["n_docs"]
+    numbers = numbered(chunks.sparkSession, vocabulary)
+    postings = tokens.unpacked(rows, "ordinal", "chunk_id", "dl").withColumnRenamed("term", "_term").join(F.broadcast(numbers), "_term").select("ordinal", "chunk_id", "dl", "term", "tf")
+    counts = rows.select(F.explode("terms").alias("_term")).groupBy("_term").agg(F.count("*").alias("df"))
+    known = counts.join(F.broadcast(numbers), "_term").select("term", "df", ranking.idf(F.lit(n_docs), F.col("df")).alias("idf")).persist()
+    return LexicalIndex(postings, known, rows.select("chunk_id", "ordinal", "dl"), stats, (rows, stats, known), (rows, vocabulary))
+
+
+def numbered(spark: SparkSession, vocabulary: list[str]) -> DataFrame:
+    return spark.createDataFrame(list(enumerate(vocabulary)), "_term int, term string")
+
+
+def packed_for(index: LexicalIndex, vocabulary: list[str]) -> DataFrame:
+    """Packed rows from an index's postings of the vocabulary: these go to their chunks, which then meet their lengths
+    once each. A posting of a chunk without a length is an error."""
+    wanted = numbered(index.postings.sparkSession, vocabulary)
+    hits = index.postings.join(F.broadcast(wanted), "term")
+    lists = hits.groupBy("chunk_id", "ordinal").agg(F.collect_list(F.struct("_term", "tf")).alias("l"))
+    lengths = index.doc_stats.select("chunk_id", "dl")
+    unknown = F.raise_error(F.lit("a posting of an unknown chunk")).cast("long")
+    return lists.join(lengths, "chunk_id", "left").select("chunk_id", "ordinal", F.coalesce("dl", unknown).alias("dl"), F.col("l._term").alias("terms"), F.col("l.tf").alias("tfs"))
+
+
+def _build_for_many(chunks: DataFrame, terms: DataFrame) -> LexicalIndex:
+    wanted = terms.withColumn("held", F.col("term"))
+    counts = token_rows(chunks).join(wanted, "term", "left").groupBy("ordinal", "chunk_id", "held").agg(F.count("*").alias("tf")).persist()
     n_docs = chunks.count()
     total = counts.agg(F.sum("tf")).first()[0] or 0
     stats = chunks.sparkSession.range(1).select(F.lit(n_docs).cast("long").alias("n_docs"), F.lit(total / n_docs if n_docs else 0.0).alias("avgdl"))

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import ranking, text
-from quarry.operators.lexical import LexicalIndex, bounded
+from quarry.operators import lexical, tokens
+from quarry.operators.lexical import MOST_BROADCAST, LexicalIndex, bounded
 
 # Results by default, and how many more candidates a fused search takes from each side.
 DEFAULT_K = 10
@@ -50,11 +51,37 @@ def query_terms(questions: DataFrame) -> DataFrame:
 
 
 def bm25_scores(terms: DataFrame, index: LexicalIndex, k1: float = ranking.K1, b: float = ranking.B) -> DataFrame:
-    """(qid, chunk_id, ordinal, score, qpos) of every chunk that holds a term of the question. Questions are
-    the small side: they meet the terms' statistics first, and postings only once."""
+    """(qid, chunk_id, ordinal, score, qpos) of every chunk that holds a term of the question."""
+    found = _scanned(terms, index, None, k1, b)
+    return _joined_scores(terms, index, k1, b) if found is None else found
+
+
+def _scanned(terms: DataFrame, index: LexicalIndex, k: int | None, k1: float, b: float) -> DataFrame | None:
+    """bm25_scores, or of each question and task only what may be among the k best. Questions are the small side: their
+    terms go to all tasks, and each chunk is scored in its own row. None if there are too many terms for that."""
+    ranking.checked(k1, b)
+    known = bounded(terms).join(index.term_stats, "term").select("qid", "term", "qtf", "qpos", "idf")
+    rows = known.limit(MOST_BROADCAST + 1).collect()
+    if len(rows) > MOST_BROADCAST:
+        return None
+    packed, vocabulary = index.packed or (None, sorted({r["term"] for r in rows}))
+    if packed is None:
+        packed = lexical.packed_for(index, vocabulary)
+    questions, numbers = list(dict.fromkeys(r["qid"] for r in rows)), {term: i for i, term in enumerate(vocabulary)}
+    at = {qid: i for i, qid in enumerate(questions)}
+    asked = [(at[r["qid"]], numbers[r["term"]], r["qtf"], r["qpos"], r["idf"]) for r in rows]
+    run = tokens.scores(asked, len(questions), k, k1, b, index.corpus_stats.first()["avgdl"])
+    found = packed.mapInArrow(run, "question int, chunk_id string, ordinal long, score double, qpos int")
+    kind = terms.schema["qid"].dataType.simpleString()
+    names = packed.sparkSession.createDataFrame(list(enumerate(questions)), f"question int, qid {kind}")
+    return found.join(F.broadcast(names), "question").select("qid", "ordinal", "chunk_id", F.round("score", ranking.PLACES).alias("score"), "qpos")
+
+
+def _joined_scores(terms: DataFrame, index: LexicalIndex, k1: float, b: float) -> DataFrame:
+    """The same by joins, for more terms than a task may hold. Questions meet the terms' statistics first, and postings
+    only once."""
     avgdl = index.corpus_stats.first()["avgdl"]
-    known = bounded(terms.join(index.term_stats, "term"))
-    hits = index.postings.join(known, "term")
+    hits = index.postings.join(terms.join(index.term_stats, "term"), "term")
     if "dl" not in hits.columns:
         lengths = index.doc_stats.select("chunk_id", "dl")
         hits = hits.join(lengths, "chunk_id", "left").withColumn("dl", F.coalesce("dl", F.raise_error(F.lit("a posting of an unknown chunk")).cast("long")))
@@ -63,6 +90,17 @@ def bm25_scores(terms: DataFrame, index: LexicalIndex, k1: float = ranking.K1, b
     return sums.withColumn("score", F.round("score", ranking.PLACES))
 
 
+def best(terms: DataFrame, index: LexicalIndex, k: int, k1: float = ranking.K1, b: float = ranking.B) -> DataFrame:
+    """The k best chunks of each question: ties by the place of its first term that the chunk holds, then ordinals. They
+    are worked out here, once, for as many questions as give rows that may be broadcast."""
+    found = _scanned(terms, index, checked_k(k), k1, b)
+    if found is None:
+        return top(_joined_scores(terms, index, k1, b), k, "qpos", "ordinal")
+    ranked = top(found, k, "qpos", "ordinal")
+    rows = ranked.collect() if terms.select("qid").distinct().count() * k <= MOST_BROADCAST else None
+    return ranked if rows is None else terms.sparkSession.createDataFrame(rows, ranked.schema)
+
+
 def top(scores: DataFrame, k: int, *ties: str) -> DataFrame:
     """The k best of each question; equal scores by the columns named, least first."""
     order = Window.partitionBy("qid").orderBy(F.desc("score"), *[F.asc_nulls_last(t) for t in ties])
@@ -70,7 +108,7 @@ def top(scores: DataFrame, k: int, *ties: str) -> DataFrame:
 
 
 def bm25(questions: DataFrame, index: LexicalIndex, k: int = DEFAULT_K, k1: float = ranking.K1, b: float = ranking.B) -> DataFrame:
-    return top(bm25_scores(query_terms(questions), index, k1, b), checked_k(k), "qpos", "ordinal")
+    return best(query_terms(questions), index, k, k1, b)
 
 
 def dense(queries: DataFrame, embeddings: DataFrame, k: int = DEFAULT_K) -> DataFrame:
@@ -140,7 +178,9 @@ def hybrid(questions: DataFrame, queries: DataFrame, index: LexicalIndex, embedd
 
 
 def materialised(ranked: DataFrame, chunks: DataFrame) -> DataFrame:
-    """ranked with the chunks' columns, joined last and on few rows; an unknown chunk is an error."""
+    """ranked with the chunks' columns, joined last and on few rows; an unknown chunk is an error. The ids go to the
+    chunks, so that only the chunks that are wanted move."""
     own = chunks.select(F.col("id").alias("chunk_id"), "file_path", "text", "start", "end", "kind")
-    joined = own.join(bounded(ranked), "chunk_id", "right")
+    few = own.join(bounded(ranked.select("chunk_id").distinct()), "chunk_id", "left_semi")
+    joined = ranked.join(few, "chunk_id", "left")
     return joined.withColumn("file_path", F.coalesce("file_path", F.raise_error(F.concat(F.lit("no such chunk: "), F.col("chunk_id")))))
