@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.operators.lexical import bounded
+
 # The budget of a context, the form of its sections, and the answers given without a model.
 MAX_CHARACTERS = 12_000
 NO_RESULTS = "I could not find relevant information in the retrieved documents."
@@ -17,7 +19,8 @@ RULES = "Answer from the context alone, in a few sentences, and name the sources
 def resolve(spans: DataFrame, chunks: DataFrame) -> DataFrame:
     """spans (file_path, start, end, ...) with id, text and kind of the chunk that is exactly there; none is an error."""
     keys = ["file_path", "start", "end"]
-    joined = spans.join(chunks.select(*keys, "id", "text", "kind"), keys, "left")
+    few = chunks.select(*keys, "id", "text", "kind").join(bounded(spans.select(*keys).distinct()), keys, "left_semi")  # texts of other chunks don't move
+    joined = spans.join(few, keys, "left")
     missing = F.raise_error(F.concat(F.lit("no chunk at "), F.concat_ws(" ", *keys)))
     return joined.withColumn("id", F.coalesce("id", missing))
 
