@@ -65,12 +65,15 @@ def _scanned(terms: DataFrame, index: LexicalIndex, k: int | None, k1: float, b:
     if len(rows) > MOST_BROADCAST:
         return None
     packed, vocabulary = index.packed or (None, sorted({r["term"] for r in rows}))
-    if packed is None:
+    lists = tokens.lists_of_packed
+    if packed is None and index.segments is not None:
+        packed, lists = index.segments, tokens.lists_of_segments(vocabulary)
+    elif packed is None:
         packed = lexical.packed_for(index, vocabulary)
     questions, numbers = list(dict.fromkeys(r["qid"] for r in rows)), {term: i for i, term in enumerate(vocabulary)}
     at = {qid: i for i, qid in enumerate(questions)}
     asked = [(at[r["qid"]], numbers[r["term"]], r["qtf"], r["qpos"], r["idf"]) for r in rows]
-    run = tokens.scores(asked, len(questions), k, k1, b, index.corpus_stats.first()["avgdl"])
+    run = tokens.scores(asked, len(questions), k, k1, b, index.corpus_stats.first()["avgdl"], lists)
     found = packed.mapInArrow(run, "question int, chunk_id string, ordinal long, score double, qpos int")
     kind = terms.schema["qid"].dataType.simpleString()
     names = packed.sparkSession.createDataFrame(list(enumerate(questions)), f"question int, qid {kind}")
