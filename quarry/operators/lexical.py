@@ -62,8 +62,7 @@ def of_segments(segments: DataFrame, term_stats: DataFrame, corpus_stats: DataFr
 
 def segment_frequencies(segments: DataFrame, n_docs: int) -> DataFrame:
     """document_frequencies from what each segment counted."""
-    counts = segments.select("counts", F.posexplode("terms").alias("i", "term")).select("term", F.get("counts", F.col("i")).alias("n"))
-    return counts.groupBy("term").agg(F.sum("n").alias("df")).withColumn("idf", ranking.idf(F.lit(n_docs), F.col("df")))
+    return tokens.term_counts(segments).groupBy("term").agg(F.sum("n").alias("df")).withColumn("idf", ranking.idf(F.lit(n_docs), F.col("df")))
 
 
 def build(chunks: DataFrame, postings: DataFrame | None = None) -> LexicalIndex:

@@ -19,8 +19,8 @@ CORPUS_STATS = _of(n_docs=LONG, avgdl=DOUBLE)
 SEGMENTS = _of(
     chunk_ids=T.ArrayType(STRING), ordinals=T.ArrayType(LONG), dls=T.ArrayType(LONG), terms=T.ArrayType(STRING), counts=T.ArrayType(INT), places=T.ArrayType(INT), tfs=T.ArrayType(INT)
 )
-#: The last two as bytes: four to a number, all lowest bytes first.
-STORED_SEGMENTS = T.StructType([*SEGMENTS.fields[:5], T.StructField("places", T.BinaryType()), T.StructField("tfs", T.BinaryType())])
+#: Terms as lines of one value; counts, places and tfs as bytes: four to a number, all lowest bytes first.
+STORED_SEGMENTS = T.StructType([*SEGMENTS.fields[:3], *[T.StructField(name, T.BinaryType()) for name in SEGMENTS.names[3:]]])
 EMBEDDINGS = _of(chunk_id=STRING, embedding=T.ArrayType(T.FloatType()))
 MANIFEST = _of(path=STRING, hash=STRING, max_chunk_size=INT, chunk_ids=T.ArrayType(STRING))
 QUERY_CACHE = _of(key=STRING, mode=STRING, index_version=STRING, rank=INT, chunk_id=STRING)
